@@ -1,0 +1,6 @@
+"""Streaming.
+
+The workload this library re-creates is batch only: every input is a
+finite table and no query has a watermark, event-time window or state
+(see README).  Nothing is implemented here on purpose.
+"""
