@@ -16,7 +16,8 @@ from ..sources.readers import Portfolio
 
 
 def audit(df: DataFrame, name: str) -> DataFrame:
-    """DQ-1/3/4/5/7: ``table_name, column_name, data_type, n_rows, n_dup_rows, n_nulls``."""
+    """DQ-1/3/4/5/7: ``table_name, n_columns, column_position, column_name, data_type,
+    n_rows, n_dup_rows, n_nulls`` (one row per column)."""
     cols = df.columns
     grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     wide = grouped.agg(
@@ -46,6 +47,7 @@ def audit(df: DataFrame, name: str) -> DataFrame:
     )
     return long.select(
         F.lit(name).alias("table_name"),
+        F.lit(len(cols)).alias("n_columns"),
         F.col("c.column_position").alias("column_position"),
         F.col("c.column_name").alias("column_name"),
         F.col("c.data_type").alias("data_type"),
@@ -107,6 +109,11 @@ def inverted_contracts(policies: DataFrame) -> DataFrame:
     )
 
 
+def preview(df, key: str, n: int = 5):
+    """DQ-6: the first ``n`` rows in ``key`` order (Spark has no implicit row order)."""
+    return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
+
+
 def clients_without_policy(clients: DataFrame, policies: DataFrame) -> DataFrame:
     """DQ-10 / JN-6 / SO-2: distinct client ids absent from policies."""
     return (

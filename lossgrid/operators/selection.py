@@ -69,18 +69,25 @@ def order_statistics(values: DataFrame, col: str, ranks: list[int], *,
         searches.append(_Search(rank=r, lo=vmin, hi=vmax, below=0))
     sizes = {id(s): count for s in searches}
     while True:
-        active = [s for s in searches if not s.done]
-        for s in active:
-            if s.lo == s.hi:
+        for s in searches:
+            if not s.done and s.lo == s.hi:
                 s.value, s.done = s.lo, True
-            elif sizes[id(s)] <= SMALL_INTERVAL_ROWS:
-                vals = [
-                    r[0]
-                    for r in data.filter((v >= F.lit(s.lo)) & (v <= F.lit(s.hi)))
-                    .orderBy(v)
-                    .limit(sizes[id(s)])
-                    .collect()
-                ]
+        small = [s for s in searches if not s.done and sizes[id(s)] <= SMALL_INTERVAL_ROWS]
+        if small:
+            # One job fetches the (bounded) contents of every small interval.
+            tags = [
+                F.when((v >= F.lit(s.lo)) & (v <= F.lit(s.hi)), F.lit(i))
+                for i, s in enumerate(small)
+            ]
+            fetched: dict[int, list] = {}
+            for row in (
+                data.select(v, F.explode(F.array(*tags)).alias("sid"))
+                .filter(F.col("sid").isNotNull())
+                .collect()
+            ):
+                fetched.setdefault(row["sid"], []).append(row[0])
+            for i, s in enumerate(small):
+                vals = sorted(fetched.get(i, []))
                 s.value, s.done = vals[s.rank - s.below], True
         active = [s for s in searches if not s.done]
         if not active:

@@ -73,6 +73,12 @@ def n04_clients_without_policy(t: Portfolio) -> DataFrame:
     return quality.clients_without_policy(t.clients, t.policies)
 
 
+def n04b_clients_without_policy_count(t: Portfolio) -> DataFrame:
+    return quality.clients_without_policy(t.clients, t.policies).agg(
+        F.count(F.lit(1)).alias("n_clients_without_policy")
+    )
+
+
 def n05_date_summary(t: Portfolio) -> DataFrame:
     return quality.date_summary(t.policies, t.claims)
 
@@ -106,6 +112,11 @@ def n09_master(t: Portfolio) -> DataFrame:
 # --- portfolio KPIs ----------------------------------------------------------
 
 
+def n09b_master_preview(t: Portfolio, n: int = 5) -> DataFrame:
+    """DQ-6 on the master: its first rows by policy id."""
+    return quality.preview(master(t), "policy_id", n)
+
+
 def n10_global_kpis(t: Portfolio) -> DataFrame:
     f = policy_facts(t)
     g = f.agg(
@@ -477,11 +488,13 @@ QUERIES = {
     "n02_categories": n02_categories,
     "n03_inverted_contracts": n03_inverted_contracts,
     "n04_clients_without_policy": n04_clients_without_policy,
+    "n04b_clients_without_policy_count": n04b_clients_without_policy_count,
     "n05_date_summary": n05_date_summary,
     "n06_premiums_agg": n06_premiums_agg,
     "n07_claims_all": n07_claims_all,
     "n08_claims_accepted": n08_claims_accepted,
     "n09_master": n09_master,
+    "n09b_master_preview": n09b_master_preview,
     "n10_global_kpis": n10_global_kpis,
     "n11_product": n11_product,
     "n12_country": n12_country,
