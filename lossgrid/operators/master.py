@@ -35,6 +35,8 @@ MONEY_COLUMNS = ("total_premium", "total_claim", "total_claim_accepted", "profit
 
 def policy_facts(t: Portfolio) -> DataFrame:
     """Master rows with DECIMAL money (internal form used by every rollup)."""
+    if t.facts is not None:
+        return t.facts
     facts = (
         t.policies.join(premium_totals(t.premiums), "policy_id", "left")
         .join(claim_facts(t.claims), "policy_id", "left")

@@ -8,7 +8,7 @@ text just like a strict date parser would).
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +24,12 @@ class Portfolio:
     clients: DataFrame
     policies: DataFrame
     premiums: DataFrame
+    # Optional precomputed master rows (DECIMAL money); when set, every
+    # rollup reads them instead of re-joining the five tables.
+    facts: DataFrame | None = field(default=None, compare=False)
+
+    def with_facts(self, facts: DataFrame) -> "Portfolio":
+        return replace(self, facts=facts)
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_ORDER}

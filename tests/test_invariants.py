@@ -65,3 +65,13 @@ def test_results_do_not_depend_on_partitioning(spark, t, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert before == after
+
+
+def test_report_over_shared_master_equals_independent_queries(spark, t):
+    from lossgrid.plans.registry import QUERIES
+    from lossgrid.plans.report import build_report
+
+    report = build_report(t)
+    assert set(report) == set(QUERIES)
+    for name in ("n11_product", "n22_agent_performance", "v08_portfolio_treemap", "n19_clv_concentration"):
+        assert sorted(map(tuple, report[name].collect())) == sorted(map(tuple, QUERIES[name](t).collect()))
