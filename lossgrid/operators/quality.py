@@ -115,11 +115,16 @@ def preview(df, key: str, n: int = 5):
 
 
 def clients_without_policy(clients: DataFrame, policies: DataFrame) -> DataFrame:
-    """DQ-10 / JN-6 / SO-2: distinct client ids absent from policies."""
+    """DQ-10 / JN-6 / SO-2: distinct client ids absent from policies.
+
+    Both sides are de-duplicated first (map-side partial aggregation), so a
+    client holding a large share of all policies reaches the anti join as
+    one row: the right side of an anti join is the one AQE cannot split.
+    """
     return (
         clients.select("client_id")
         .distinct()
-        .join(policies.select("client_id"), "client_id", "left_anti")
+        .join(policies.select("client_id").distinct(), "client_id", "left_anti")
     )
 
 
