@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .schemas import SCHEMAS, TABLE_ORDER
+from .schemas import SCHEMAS, TABLE_ORDER, widen_ids
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,12 @@ class Portfolio:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str, name: str, *, lenient: bool = False
+    spark: SparkSession, path: str, name: str, *, lenient: bool = False, wide_ids: bool = False
 ) -> DataFrame:
-    """One CSV with header, UTF-8, typed by the fixed schema."""
+    """One CSV with header, UTF-8, typed by the fixed schema (ids as ``long`` if ``wide_ids``)."""
+    schema = widen_ids(SCHEMAS[name]) if wide_ids else SCHEMAS[name]
     return (
-        spark.read.schema(SCHEMAS[name])
+        spark.read.schema(schema)
         .option("header", True)
         .option("encoding", "UTF-8")
         .option("dateFormat", "yyyy-MM-dd")
@@ -55,13 +56,17 @@ def read_csv_table(
 
 
 def read_csv_portfolio(
-    spark: SparkSession, directory: str, *, lenient: bool = False
+    spark: SparkSession, directory: str, *, lenient: bool = False, wide_ids: bool = False
 ) -> Portfolio:
     """``<directory>/<table>.csv`` for the five tables."""
     return Portfolio(
         **{
             name: read_csv_table(
-                spark, os.path.join(directory, f"{name}.csv"), name, lenient=lenient
+                spark,
+                os.path.join(directory, f"{name}.csv"),
+                name,
+                lenient=lenient,
+                wide_ids=wide_ids,
             )
             for name in TABLE_ORDER
         }

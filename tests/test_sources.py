@@ -75,3 +75,15 @@ def test_chart_datasets_written(spark):
     paths = write_chart_datasets(t, out)
     assert len(paths) == 9
     assert spark.read.parquet(paths[0]).count() == 1
+
+
+def test_wide_ids_run_the_same_queries(spark):
+    folder = _scratch()
+    t = mapped_portfolio(spark, SF_SMALL)
+    for name, df in t.tables().items():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    wide = read_csv_portfolio(spark, folder, wide_ids=True)
+    assert wide.policies.schema["policy_id"].dataType.simpleString() == "bigint"
+    a = sorted(map(tuple, n.n11_product(wide).collect()))
+    b = sorted(map(tuple, n.n11_product(t).collect()))
+    assert a == b
