@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.metrics import dbl, div, ieee_ratio, ratio_or, round_even
-from ..functions.ordering import pandas_asc, pandas_desc
+from ..functions.ordering import pandas_desc
 from ..operators import quality
 from ..operators.facts import accepted, accepted_claim_totals, claim_totals, premium_totals
 from ..operators.master import master, policy_facts

@@ -63,13 +63,29 @@ def _grouped_fanout(left: DataFrame, t: Portfolio, keys: list[str]) -> DataFrame
     )
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
+def _sp() -> Column:
+    """SUM(pr.amount) over the joined rows."""
+    return F.col("sp")
+
+
+def _sc() -> Column:
+    """SUM(c.claim_amount) over the joined rows (NULL when no accepted claim)."""
+    return F.col("sc")
+
+
+def _sin0() -> Column:
+    """COALESCE(SUM(c.claim_amount), 0)."""
+    return F.coalesce(F.col("sc"), F.lit(0))
+
+
+def _nb() -> Column:
+    """COUNT(DISTINCT p.policy_id)."""
+    return F.col("nb")
 
 
 def _lr_unrounded() -> Column:
     """``CASE WHEN SUM(pr)=0 THEN NULL ELSE COALESCE(SUM(c),0)/SUM(pr)*100 END``."""
-    return F.when(_c("sp") != 0, div(F.coalesce(_c("sc"), F.lit(0)), _c("sp"), 100.0))
+    return F.when(_sp() != 0, div(_sin0(), _sp(), 100.0))
 
 
 def _lr2() -> Column:
@@ -77,7 +93,7 @@ def _lr2() -> Column:
 
 
 def _per_policy(x: Column) -> Column:
-    return div(x, nullif_zero(_c("nb")))
+    return div(x, nullif_zero(_nb()))
 
 
 def s01_pnl_by_year(t: Portfolio) -> DataFrame:
@@ -107,8 +123,8 @@ def s01_pnl_by_year(t: Portfolio) -> DataFrame:
 
 def _money_block() -> list[Column]:
     return [
-        dbl(_c("sp")).alias("total_primes"),
-        dbl(F.coalesce(_c("sc"), F.lit(0))).alias("total_sinistres"),
+        dbl(_sp()).alias("total_primes"),
+        dbl(_sin0()).alias("total_sinistres"),
     ]
 
 
@@ -116,13 +132,13 @@ def s02_product_profitability(t: Portfolio) -> DataFrame:
     g = _grouped_fanout(t.policies.select("policy_id", "product_type"), t, ["product_type"])
     out = g.select(
         "product_type",
-        _c("nb").alias("nb_polices"),
+        _nb().alias("nb_polices"),
         *_money_block(),
-        dbl(_c("sp") - F.coalesce(_c("sc"), F.lit(0))).alias("profit_technique"),
+        dbl(_sp() - _sin0()).alias("profit_technique"),
         _lr2().alias("loss_ratio_pct"),
         round_sql(_per_policy(F.col("n_ids")), 3).alias("frequence_sinistralite"),
-        round_sql(div(_c("sc"), nullif_zero(F.col("n_amt"))), 2).alias("cout_moyen_sinistre"),
-        round_sql(_per_policy(F.coalesce(_c("sc"), F.lit(0))), 2).alias("risk_cost_par_police"),
+        round_sql(div(_sc(), nullif_zero(F.col("n_amt"))), 2).alias("cout_moyen_sinistre"),
+        round_sql(_per_policy(_sin0()), 2).alias("risk_cost_par_police"),
     )
     return out.orderBy(pg_desc(F.col("loss_ratio_pct")), "product_type")
 
@@ -133,14 +149,14 @@ def s03_country_performance(t: Portfolio) -> DataFrame:
     )
     g = _grouped_fanout(left.select("policy_id", "country"), t, ["country"])
     everything = Window.partitionBy()
-    share = (dbl(_c("sp")) * F.lit(100.0)) / dbl(nullif_zero(F.sum(_c("sp")).over(everything)))
+    share = (dbl(_sp()) * F.lit(100.0)) / dbl(nullif_zero(F.sum(_sp()).over(everything)))
     out = g.select(
         "country",
-        _c("nb").alias("nb_polices"),
+        _nb().alias("nb_polices"),
         *_money_block(),
-        dbl(_c("sp") - F.coalesce(_c("sc"), F.lit(0))).alias("profit_technique"),
+        dbl(_sp() - _sin0()).alias("profit_technique"),
         _lr2().alias("loss_ratio_pct"),
-        round_sql(_per_policy(_c("sp") - F.coalesce(_c("sc"), F.lit(0))), 2).alias("profit_par_police"),
+        round_sql(_per_policy(_sp() - _sin0()), 2).alias("profit_par_police"),
         round_sql(share, 1).alias("part_ca_pct"),
     )
     return out.orderBy(pg_desc(F.col("loss_ratio_pct")), "country")
@@ -158,9 +174,9 @@ def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
     g = _agent_groups(t)
     out = g.select(
         *AGENT_KEYS,
-        _c("nb").alias("nb_polices_vendues"),
+        _nb().alias("nb_polices_vendues"),
         *_money_block(),
-        dbl(_c("sp") - F.coalesce(_c("sc"), F.lit(0))).alias("profit_net"),
+        dbl(_sp() - _sin0()).alias("profit_net"),
         _lr2().alias("loss_ratio_pct"),
     )
     return out.orderBy(pg_desc(F.col("profit_net")), "agent_id").limit(k)
@@ -178,10 +194,10 @@ def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> Da
         "age",
         "country",
         F.col("first_start").alias("premiere_police"),
-        _c("nb").alias("nb_polices"),
-        dbl(_c("sp")).alias("total_primes_payees"),
-        dbl(F.coalesce(_c("sc"), F.lit(0))).alias("total_sinistres_recus"),
-        dbl(_c("sp") - F.coalesce(_c("sc"), F.lit(0))).alias("clv_technique"),
+        _nb().alias("nb_polices"),
+        dbl(_sp()).alias("total_primes_payees"),
+        dbl(_sin0()).alias("total_sinistres_recus"),
+        dbl(_sp() - _sin0()).alias("clv_technique"),
         _lr2().alias("loss_ratio_pct"),
         (F.year(F.lit(as_of)) - F.year("first_start")).alias("anciennete_annees"),
     )
@@ -192,14 +208,14 @@ def s06_frequency_severity(t: Portfolio) -> DataFrame:
     g = _grouped_fanout(t.policies.select("policy_id", "product_type"), t, ["product_type"])
     out = g.select(
         "product_type",
-        _c("nb").alias("nb_polices"),
+        _nb().alias("nb_polices"),
         F.col("n_ids").alias("nb_sinistres_acceptes"),
         round_sql(_per_policy(F.col("n_ids")), 3).alias("frequence"),
-        round_sql(div(_c("sc"), nullif_zero(F.col("n_amt"))), 2).alias("cout_moyen_sinistre"),
-        dbl(_c("sc")).alias("cout_total_sinistres"),
-        round_sql(_per_policy(_c("sc")), 2).alias("risk_cost_par_police"),
-        round_sql(_per_policy(_c("sp")), 2).alias("prime_moyenne_actuelle"),
-        round_sql(div(_c("sp"), nullif_zero(_c("sc"))), 3).alias("ratio_couverture"),
+        round_sql(div(_sc(), nullif_zero(F.col("n_amt"))), 2).alias("cout_moyen_sinistre"),
+        dbl(_sc()).alias("cout_total_sinistres"),
+        round_sql(_per_policy(_sc()), 2).alias("risk_cost_par_police"),
+        round_sql(_per_policy(_sp()), 2).alias("prime_moyenne_actuelle"),
+        round_sql(div(_sp(), nullif_zero(_sc())), 3).alias("ratio_couverture"),
     )
     return out.orderBy(pg_desc(F.col("frequence")), "product_type")
 
@@ -239,16 +255,16 @@ def s07_cohort_retention(t: Portfolio) -> DataFrame:
 
 
 def s08_underperforming_agents(t: Portfolio, min_policies: int = MIN_POLICIES_PER_AGENT) -> DataFrame:
-    g = _agent_groups(t).filter(_c("nb") >= min_policies)
-    lr_null = (_c("sp") == 0) | _c("sp").isNull()
-    flagged = g.filter(ratio_exceeds(F.coalesce(_c("sc"), F.lit(0)), _c("sp"), 200) | lr_null)
+    g = _agent_groups(t).filter(_nb() >= min_policies)
+    lr_null = (_sp() == 0) | _sp().isNull()
+    flagged = g.filter(ratio_exceeds(_sin0(), _sp(), 200) | lr_null)
     out = flagged.select(
         *AGENT_KEYS,
-        _c("nb").alias("nb_polices_vendues"),
+        _nb().alias("nb_polices_vendues"),
         *_money_block(),
-        dbl(_c("sp") - F.coalesce(_c("sc"), F.lit(0))).alias("profit_net"),
+        dbl(_sp() - _sin0()).alias("profit_net"),
         _lr2().alias("loss_ratio_pct"),
-        L.agent_alert(_c("sp"), F.coalesce(_c("sc"), F.lit(0))).alias("niveau_alerte"),
+        L.agent_alert(_sp(), _sin0()).alias("niveau_alerte"),
     )
     return out.orderBy(pg_desc(F.col("loss_ratio_pct")), "agent_id")
 
@@ -263,7 +279,7 @@ def s09_country_product_heatmap(t: Portfolio) -> DataFrame:
     out = g.select(
         "country",
         "product_type",
-        _c("nb").alias("nb_polices"),
+        _nb().alias("nb_polices"),
         *_money_block(),
         _lr2().alias("loss_ratio_pct"),
     )
@@ -278,12 +294,12 @@ def s10_combined_ratio(t: Portfolio, expense_pct: float = EXPENSE_RATIO_PCT) ->
         F.sum(F.col("sum_prem") * mult).alias("sp"),
         F.sum(F.col("sum_claim") * F.col("n_prem_rows")).alias("sc"),
     )
-    lr = div(_c("sc"), nullif_zero(_c("sp")), 100.0)
+    lr = div(_sc(), nullif_zero(_sp()), 100.0)
     return g.select(
         round_sql(lr, 2).alias("loss_ratio_pct"),
         F.lit(float(expense_pct)).alias("expense_ratio_estime_pct"),
         round_sql(lr + F.lit(float(expense_pct)), 2).alias("combined_ratio_estime_pct"),
-        L.combined_verdict(_c("sc"), _c("sp"), expense_pct).alias("verdict"),
+        L.combined_verdict(_sc(), _sp(), expense_pct).alias("verdict"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lossgrid.plans import charts, master_track as n, sql_track as s
+from lossgrid.plans import charts, master_track as n
 from lossgrid.sources.testmap import mapped_portfolio
 from tests.conftest import SF_SMALL
 
