@@ -179,7 +179,7 @@ def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
         dbl(_sp() - _sin0()).alias("profit_net"),
         _lr2().alias("loss_ratio_pct"),
     )
-    return out.orderBy(pg_desc(F.col("profit_net")), "agent_id").limit(k)
+    return out.orderBy(pg_desc(F.col("profit_net")), *[pg_asc(F.col(c)) for c in AGENT_KEYS]).limit(k)
 
 
 def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> DataFrame:
@@ -201,7 +201,8 @@ def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> Da
         _lr2().alias("loss_ratio_pct"),
         (F.year(F.lit(as_of)) - F.year("first_start")).alias("anciennete_annees"),
     )
-    return out.orderBy(pg_desc(F.col("clv_technique")), "client_id").limit(k)
+    keys = [pg_asc(F.col(c)) for c in ("client_id", "age", "country")]
+    return out.orderBy(pg_desc(F.col("clv_technique")), *keys).limit(k)
 
 
 def s06_frequency_severity(t: Portfolio) -> DataFrame:

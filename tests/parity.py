@@ -61,7 +61,11 @@ def _key(row):
 
 def compare(spark, con, name: str, sf_dir: str, query_fn, sql: str) -> list[str]:
     """Return a list of problems (empty when Spark and the oracle agree)."""
-    sdf = query_fn(spark, sf_dir)
+    return compare_frames(query_fn(spark, sf_dir), con, sql)
+
+
+def compare_frames(sdf, con, sql: str) -> list[str]:
+    """Compare a Spark DataFrame with the result of ``sql`` on ``con``."""
     s_cols = sdf.columns
     s_types = [f.dataType.simpleString() for f in sdf.schema.fields]
     s_rows = [tuple(_norm(v) for v in r) for r in sdf.collect()]
