@@ -2,7 +2,8 @@
 
 ``ROLLUP(k1, k2)`` over leaf rows: sizes add up the tree; the colour of a
 parent is the size-weighted mean of its leaves' colours (how a treemap
-colours a parent node); leaves keep their own colour.
+colours a parent node); leaves keep their own colour.  No leaves, no tree:
+an empty input gives no rows (not even a root).
 """
 
 from __future__ import annotations

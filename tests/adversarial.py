@@ -60,7 +60,7 @@ def build(seed: int = 11, n_policies: int = 3000) -> dict[str, pa.Table]:
             end,
             _maybe(rng, agent, 0.02),
         ))
-    policies += [policies[9], (11, 5, "Vie", dt.date(2021, 1, 1), dt.date(2022, 1, 1), 3)]
+    policies += [policies[min(9, len(policies) - 1)], (11, 5, "Vie", dt.date(2021, 1, 1), dt.date(2022, 1, 1), 3)]
 
     def amount():
         u = rng.random()
