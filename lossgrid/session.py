@@ -69,8 +69,12 @@ def materialize(df: DataFrame) -> DataFrame:
     memory and disk, where a lost block is recomputed from lineage.
     """
     spark = df.sparkSession
-    if checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
     persisted = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if checkpoint_dir(spark):
+        # Writing a reliable checkpoint re-runs the plan unless it is cached:
+        # persist for the duration of the write, then release the cache.
+        out = persisted.checkpoint(eager=True)
+        persisted.unpersist()
+        return out
     persisted.count()
     return persisted
