@@ -73,11 +73,11 @@ def read_csv_portfolio(
     )
 
 
-def read_parquet_portfolio(spark: SparkSession, directory: str) -> Portfolio:
+def read_parquet_portfolio(spark: SparkSession, directory: str, *, wide_ids: bool = False) -> Portfolio:
     """``<directory>/<table>`` Parquet datasets, columns selected in schema order."""
     tables = {}
     for name in TABLE_ORDER:
-        schema = SCHEMAS[name]
+        schema = widen_ids(SCHEMAS[name]) if wide_ids else SCHEMAS[name]
         df = spark.read.parquet(os.path.join(directory, name))
         tables[name] = df.select(
             *[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]

@@ -6,7 +6,9 @@ countries and regions from ``region``.  The DataFrame version below and the
 SQL text :data:`MAPPED_VIEWS_SQL` (used by the DuckDB oracle) compute the
 same rows.
 
-Every table grows linearly with its source table: the x8 / x2 replication is
+Ids are ``bigint`` (the source keys multiplied by 8, 10 ... leave the
+32-bit range at large scale factors); the other columns follow the fixed
+schemas.  Every table grows linearly with its source table: the x8 / x2 replication is
 an ``explode`` of a literal array, not a join, and the two lookups (``region``
 and ``nation``) are dimension tables of fixed size that the planner
 broadcasts from their file statistics.
@@ -70,7 +72,7 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
         part.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
         .join(region, (F.col("p_partkey") % 5) == F.col("r_regionkey"))
         .select(
-            (F.col("p_partkey") * 2 + F.col("k")).cast("int").alias("agent_id"),
+            (F.col("p_partkey") * 2 + F.col("k")).alias("agent_id"),
             F.col("r_name").alias("region"),
             (1 + (F.col("p_size") + F.col("k")) % 14).cast("int").alias("experience_years"),
         )
@@ -83,7 +85,7 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
         customer.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
         .join(nation_region, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            (F.col("c_custkey") * 8 + F.col("k")).cast("int").alias("client_id"),
+            (F.col("c_custkey") * 8 + F.col("k")).alias("client_id"),
             (18 + F.col("c_custkey") % 62).cast("int").alias("age"),
             F.col("r_name").alias("country"),
             F.date_add(
@@ -96,8 +98,8 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
     product_slot = F.floor(F.col("o_orderkey") / 4) % 4
     start = F.col("o_orderdate").cast("date")
     policies = orders.select(
-        F.col("o_orderkey").cast("int").alias("policy_id"),
-        (F.col("o_custkey") * 8 + 2 * (F.col("o_orderkey") % 4)).cast("int").alias("client_id"),
+        F.col("o_orderkey").alias("policy_id"),
+        (F.col("o_custkey") * 8 + 2 * (F.col("o_orderkey") % 4)).alias("client_id"),
         F.when(product_slot == 0, "Auto")
         .when(product_slot == 1, "Santé")
         .when(product_slot == 2, "Habitation")
@@ -105,15 +107,13 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
         .alias("product_type"),
         start.alias("start_date"),
         F.date_add(start, (F.col("o_orderkey") % 900 - 300).cast("int")).alias("end_date"),
-        (F.round(F.col("o_totalprice") * 100).cast("long") % n_agents)
-        .cast("int")
-        .alias("agent_id"),
+        (F.round(F.col("o_totalprice") * 100).cast("long") % n_agents).alias("agent_id"),
     )
 
-    line_id = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int")
+    line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     premiums = lineitem.filter(F.col("l_linestatus") == "O").select(
         line_id.alias("premium_id"),
-        F.col("l_orderkey").cast("int").alias("policy_id"),
+        F.col("l_orderkey").alias("policy_id"),
         _money(F.col("l_extendedprice"), 50).alias("amount"),
         F.when(F.col("l_orderkey") % 97 == 0, F.lit(None).cast("date"))
         .otherwise(F.col("l_shipdate").cast("date"))
@@ -121,7 +121,7 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
     )
     claims = lineitem.filter(F.col("l_linestatus") == "F").select(
         line_id.alias("claim_id"),
-        F.col("l_orderkey").cast("int").alias("policy_id"),
+        F.col("l_orderkey").alias("policy_id"),
         _money(F.col("l_extendedprice"), 18).alias("claim_amount"),
         F.when(F.col("l_orderkey") % 101 == 0, F.lit(None).cast("date"))
         .otherwise(F.col("l_shipdate").cast("date"))
@@ -138,13 +138,13 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
 # oracle query.
 MAPPED_VIEWS_SQL = """
 agents AS (
-  SELECT CAST(p.p_partkey * 2 + k.k AS INT) AS agent_id, r.r_name AS region,
+  SELECT CAST(p.p_partkey * 2 + k.k AS BIGINT) AS agent_id, r.r_name AS region,
          CAST(1 + (p.p_size + k.k) % 14 AS INT) AS experience_years
   FROM part p CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) k
   JOIN region r ON r.r_regionkey = p.p_partkey % 5
 ),
 clients AS (
-  SELECT CAST(c.c_custkey * 8 + k.k AS INT) AS client_id, CAST(18 + c.c_custkey % 62 AS INT) AS age,
+  SELECT CAST(c.c_custkey * 8 + k.k AS BIGINT) AS client_id, CAST(18 + c.c_custkey % 62 AS INT) AS age,
          r.r_name AS country, DATE '1995-01-01' + CAST(c.c_custkey % 2400 AS INT) AS signup_date
   FROM customer c
   CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3
@@ -152,22 +152,22 @@ clients AS (
   JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
 ),
 policies AS (
-  SELECT CAST(o_orderkey AS INT) AS policy_id, CAST(o_custkey * 8 + 2 * (o_orderkey % 4) AS INT) AS client_id,
+  SELECT CAST(o_orderkey AS BIGINT) AS policy_id, CAST(o_custkey * 8 + 2 * (o_orderkey % 4) AS BIGINT) AS client_id,
          CASE CAST(FLOOR(o_orderkey / 4) AS BIGINT) % 4 WHEN 0 THEN 'Auto' WHEN 1 THEN 'Santé'
               WHEN 2 THEN 'Habitation' ELSE 'Vie' END AS product_type,
          CAST(o_orderdate AS DATE) AS start_date,
          CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 - 300 AS INT) AS end_date,
-         CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) % (2 * (SELECT COUNT(*) FROM part)) AS INT) AS agent_id
+         CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) % (2 * (SELECT COUNT(*) FROM part)) AS BIGINT) AS agent_id
   FROM orders
 ),
 premiums AS (
-  SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS premium_id, CAST(l_orderkey AS INT) AS policy_id,
+  SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS premium_id, CAST(l_orderkey AS BIGINT) AS policy_id,
          CAST(FLOOR(ROUND(l_extendedprice * 100) / 50) / 100 AS DECIMAL(10,2)) AS amount,
          CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS payment_date
   FROM lineitem WHERE l_linestatus = 'O'
 ),
 claims AS (
-  SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS claim_id, CAST(l_orderkey AS INT) AS policy_id,
+  SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS claim_id, CAST(l_orderkey AS BIGINT) AS policy_id,
          CAST(FLOOR(ROUND(l_extendedprice * 100) / 18) / 100 AS DECIMAL(10,2)) AS claim_amount,
          CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS claim_date,
          CASE l_returnflag WHEN 'R' THEN 'Rejected' ELSE 'Accepted' END AS status

@@ -61,8 +61,8 @@ def test_portfolio_csv_and_parquet_readers(spark):
     for name, df in t.tables().items():
         df.write.mode("overwrite").option("header", True).csv(f"{out}/csv/{name}.csv")
         df.write.mode("overwrite").parquet(f"{out}/pq/{name}")
-    from_csv = read_csv_portfolio(spark, f"{out}/csv")
-    from_pq = read_parquet_portfolio(spark, f"{out}/pq")
+    from_csv = read_csv_portfolio(spark, f"{out}/csv", wide_ids=True)
+    from_pq = read_parquet_portfolio(spark, f"{out}/pq", wide_ids=True)
     for name, df in t.tables().items():
         assert [f.dataType for f in getattr(from_csv, name).schema] == [f.dataType for f in df.schema]
         assert getattr(from_csv, name).count() == df.count()
@@ -83,7 +83,10 @@ def test_wide_ids_run_the_same_queries(spark):
     for name, df in t.tables().items():
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
     wide = read_csv_portfolio(spark, folder, wide_ids=True)
+    narrow = read_csv_portfolio(spark, folder)
     assert wide.policies.schema["policy_id"].dataType.simpleString() == "bigint"
+    assert narrow.policies.schema["policy_id"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, n.n11_product(narrow).collect())) == sorted(map(tuple, n.n11_product(wide).collect()))
     a = sorted(map(tuple, n.n11_product(wide).collect()))
     b = sorted(map(tuple, n.n11_product(t).collect()))
     assert a == b
