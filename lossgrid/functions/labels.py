@@ -7,6 +7,8 @@ while a pandas comparison with NaN is false.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,10 +87,13 @@ def agent_alert(premiums: Column, claims: Column) -> Column:
 
 
 def combined_verdict(claims: Column, premiums: Column, expense_pct: float) -> Column:
-    """CL-4: ``claims / premiums * 100 + expense > 100``; NULL falls to the else branch."""
-    exceeds = (claims * 100 + premiums * F.lit(expense_pct)) > premiums * 100
-    flipped = (claims * 100 + premiums * F.lit(expense_pct)) < premiums * 100
-    loss = F.when(premiums > 0, exceeds).when(premiums < 0, flipped)
+    """CL-4: ``claims / premiums * 100 + expense > 100``, decided exactly on decimals.
+
+    Equivalent to ``(claims + premiums * expense / 100) / premiums * 100 > 100``;
+    NULL (no accepted claim) falls to the else branch.
+    """
+    expense_share = F.lit(Decimal(repr(expense_pct / 100)))
+    loss = ratio_exceeds(claims + premiums * expense_share, premiums, 100)
     return F.when(loss, VERDICT_LOSS).otherwise(VERDICT_PROFIT)
 
 

@@ -89,6 +89,17 @@ def build(seed: int = 11, n_policies: int = 3000) -> dict[str, pa.Table]:
             statuses[int(rng.integers(0, len(statuses)))],
         ))
 
+    # Agents whose loss ratio sits exactly on an alert bound that double
+    # arithmetic overshoots: 0.27 / 0.09 -> 300 %, 2.35 / 0.47 -> 500 %.
+    boundary = {90: ([3, 3, 3], [9, 9, 9]), 91: ([15, 16, 16], [78, 78, 79])}
+    for agent, (prem_cents, claim_cents) in boundary.items():
+        agents.append((agent, "Kenya", 4))
+        for j, (pc, cc) in enumerate(zip(prem_cents, claim_cents)):
+            pid = 9000 + agent * 10 + j
+            policies.append((pid, 1, "Auto", dt.date(2021, 1, 1), dt.date(2022, 1, 1), agent))
+            premiums.append((90000 + pid, pid, _money(pc), dt.date(2021, 2, 1)))
+            claims.append((90000 + pid, pid, _money(cc), dt.date(2021, 3, 1), "Accepted"))
+
     schemas = {
         "agents": pa.schema([("agent_id", pa.int32()), ("region", pa.string()), ("experience_years", pa.int32())]),
         "clients": pa.schema([("client_id", pa.int32()), ("age", pa.int32()), ("country", pa.string()),
