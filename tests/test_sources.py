@@ -90,3 +90,15 @@ def test_wide_ids_run_the_same_queries(spark):
     a = sorted(map(tuple, n.n11_product(wide).collect()))
     b = sorted(map(tuple, n.n11_product(t).collect()))
     assert a == b
+
+
+def test_write_report_writes_every_result(spark):
+    from lossgrid.plans.registry import QUERIES
+    from lossgrid.plans.report import write_report
+
+    t = mapped_portfolio(spark, SF_SMALL)
+    out = _scratch()
+    written = write_report(t, out)
+    assert set(written) == set(QUERIES)
+    assert spark.read.parquet(written["n11_product"]).count() == 4
+    assert spark.read.parquet(written["n09_master"]).count() == t.policies.count()
