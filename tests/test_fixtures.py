@@ -261,6 +261,10 @@ def test_f17_metamorphic_tracks_agree(portfolio):
     sql = {r["country"]: r for r in rows(s.s03_country_performance(t))}
     df = {r["country"]: r for r in rows(n.n12_country(t))}
     assert sql["Maroc"]["total_primes"] == df["Maroc"]["primes"]
+    # every policy has a premium here, so the agent top-10 agree as well
+    sql = [(r["agent_id"], r["profit_net"], r["total_primes"]) for r in rows(s.s04_top_agents(t))]
+    df = [(r["agent_id"], r["profit"], r["primes"]) for r in rows(n.n23_top10_agents(t))]
+    assert sql == df
 
 
 def test_f18_growth_first_year_null(portfolio):
