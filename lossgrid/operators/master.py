@@ -3,9 +3,10 @@
 :func:`policy_facts` keeps money as exact DECIMAL for the group-bys built on
 it; :func:`master` is the 23-column export with money as DOUBLE.
 
-Plan shape: premiums and claims are aggregated per policy (partial + final
-hash aggregate, one shuffle each), policies is shuffled once on
-``policy_id`` and both fact joins reuse that partitioning.  Clients and
+Plan shape: premiums and claims are aggregated per policy (the two fact
+sides of :mod:`lossgrid.operators.facts`; partial + final hash aggregate,
+one shuffle each), policies is shuffled once on ``policy_id`` and both fact
+joins reuse that partitioning.  Clients and
 agents are dimension joins; AQE broadcasts them when their measured size is
 under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a
 sort-merge join, splitting a skewed client or agent key.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import div
 from ..sources.readers import Portfolio
-from .facts import claim_facts, premium_totals, zero_money
+from .facts import claim_side, premium_side, zero_money
 
 MASTER_COLUMNS = (
     "policy_id", "client_id", "product_type", "start_date", "end_date",
@@ -37,14 +38,16 @@ def policy_facts(t: Portfolio) -> DataFrame:
     """Master rows with DECIMAL money (internal form used by every rollup)."""
     if t.facts is not None:
         return t.facts
+    prem_side = premium_side(t).select("policy_id", "sum_prem")
+    clm_side = claim_side(t).select("policy_id", "total_claim", "nb_claims", "sum_claim", "n_claim_ids")
     facts = (
-        t.policies.join(premium_totals(t.premiums), "policy_id", "left")
-        .join(claim_facts(t.claims), "policy_id", "left")
+        t.policies.join(prem_side, "policy_id", "left")
+        .join(clm_side, "policy_id", "left")
         .join(t.clients, "client_id", "left")
         .join(t.agents, "agent_id", "left")
     )
-    prem = F.coalesce(F.col("total_premium"), zero_money())
-    acc = F.coalesce(F.col("total_claim_accepted"), zero_money())
+    prem = F.coalesce(F.col("sum_prem"), zero_money())
+    acc = F.coalesce(F.col("sum_claim"), zero_money())
     profit = prem - acc
     return facts.select(
         "policy_id", "client_id", "product_type", "start_date", "end_date",
@@ -55,7 +58,7 @@ def policy_facts(t: Portfolio) -> DataFrame:
         F.coalesce(F.col("total_claim"), zero_money()).alias("total_claim"),
         acc.alias("total_claim_accepted"),
         F.coalesce(F.col("nb_claims"), F.lit(0)).cast("long").alias("nb_claims"),
-        F.coalesce(F.col("nb_claims_accepted"), F.lit(0)).cast("long").alias("nb_claims_accepted"),
+        F.coalesce(F.col("n_claim_ids"), F.lit(0)).cast("long").alias("nb_claims_accepted"),
         F.when(prem > 0, div(acc, prem, 100.0)).otherwise(F.lit(0.0)).alias("loss_ratio"),
         profit.alias("profit"),
         (profit > 0).alias("is_profitable"),

@@ -87,17 +87,17 @@ def n05_date_summary(t: Portfolio) -> DataFrame:
 
 
 def n06_premiums_agg(t: Portfolio) -> DataFrame:
-    p = premium_totals(t.premiums)
+    p = premium_totals(t)
     return p.select("policy_id", dbl(F.col("total_premium")).alias("total_premium"))
 
 
 def n07_claims_all(t: Portfolio) -> DataFrame:
-    c = claim_totals(t.claims)
+    c = claim_totals(t)
     return c.select("policy_id", dbl(F.col("total_claim")).alias("total_claim"), "nb_claims")
 
 
 def n08_claims_accepted(t: Portfolio) -> DataFrame:
-    c = accepted_claim_totals(t.claims)
+    c = accepted_claim_totals(t)
     return c.select(
         "policy_id",
         dbl(F.col("total_claim_accepted")).alias("total_claim_accepted"),

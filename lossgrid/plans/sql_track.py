@@ -3,7 +3,7 @@
 These statements join premiums and accepted claims on ``policy_id`` without
 pre-aggregating (T1), count ``nb_polices`` only over policies having a
 premium (T2/T10), guard ratios with ``= 0 -> NULL`` and round half away from
-zero.  The fan-out is reproduced *exactly* from per-policy aggregates
+zero.  The fan-out is reproduced *exactly* from the per-policy fact sides
 (:func:`lossgrid.operators.facts.weighted_fanout`) instead of materialising
 ``premiums x claims`` pairs, so a policy with many rows on both sides costs
 one row, not their product.  ``COUNT(DISTINCT policy_id)`` becomes a
@@ -24,12 +24,7 @@ from ..functions import labels as L
 from ..functions.metrics import dbl, div, nullif_zero, ratio_exceeds, round_sql
 from ..functions.ordering import pg_asc, pg_desc
 from ..operators import quality
-from ..operators.facts import (
-    accepted,
-    claim_fanout_side,
-    premium_fanout_side,
-    weighted_fanout,
-)
+from ..operators.facts import accepted, claim_side, fanout_weights, premium_side, weighted_fanout
 from ..sources.readers import Portfolio
 from ..sources.schemas import EXPENSE_RATIO_PCT, MIN_POLICIES_PER_AGENT
 
@@ -44,7 +39,7 @@ def _grouped_fanout(left: DataFrame, t: Portfolio, keys: list[str]) -> DataFrame
     (SUM c.claim_amount, NULL when none), n_ids (COUNT c.claim_id), n_amt
     (COUNT c.claim_amount), first_start (MIN start_date when present).
     """
-    w = weighted_fanout(left, t.premiums, t.claims)
+    w = weighted_fanout(left, t)
     has_start = "start_date" in left.columns
     per_policy = w.groupBy(*keys, "policy_id").agg(
         F.sum("w_prem_amount").alias("sp"),
@@ -289,12 +284,9 @@ def s09_country_product_heatmap(t: Portfolio) -> DataFrame:
 
 def s10_combined_ratio(t: Portfolio, expense_pct: float = EXPENSE_RATIO_PCT) -> DataFrame:
     """premiums ⟕ accepted claims over the whole table (no policies join)."""
-    j = premium_fanout_side(t.premiums).join(claim_fanout_side(t.claims), "policy_id", "left")
-    mult = F.greatest(F.coalesce(F.col("n_claim_rows"), F.lit(0)), F.lit(1))
-    g = j.agg(
-        F.sum(F.col("sum_prem") * mult).alias("sp"),
-        F.sum(F.col("sum_claim") * F.col("n_prem_rows")).alias("sc"),
-    )
+    j = premium_side(t).join(claim_side(t), "policy_id", "left")
+    w = j.select(*fanout_weights(F.col("n_prem_rows")))
+    g = w.agg(F.sum("w_prem_amount").alias("sp"), F.sum("w_claim_amount").alias("sc"))
     lr = div(_sc(), nullif_zero(_sp()), 100.0)
     return g.select(
         round_sql(lr, 2).alias("loss_ratio_pct"),

@@ -27,10 +27,17 @@ class Portfolio:
     # Optional precomputed master rows (DECIMAL money); when set, every
     # rollup reads them instead of re-joining the five tables.
     facts: DataFrame | None = field(default=None, compare=False)
+    # Optional precomputed per-policy aggregates of premiums and claims
+    # (see lossgrid.operators.facts); both tracks read them when set.
+    premium_side: DataFrame | None = field(default=None, compare=False)
+    claim_side: DataFrame | None = field(default=None, compare=False)
 
     def with_facts(self, facts: DataFrame) -> "Portfolio":
         return replace(self, facts=facts)
 
+    def with_sides(self, premium_side: DataFrame, claim_side: DataFrame) -> "Portfolio":
+        return replace(self, premium_side=premium_side, claim_side=claim_side)
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_ORDER}
 
