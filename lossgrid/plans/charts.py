@@ -24,6 +24,7 @@ HISTOGRAM_BINS = 60
 
 
 def v01_gauge(t: Portfolio) -> DataFrame:
+    """Global loss ratio, its distance to 100 and its band."""
     g = policy_facts(t).agg(
         F.sum("total_claim_accepted").alias("sin"), F.sum("total_premium").alias("ca")
     )
@@ -48,6 +49,7 @@ def _rollup_by(t: Portfolio, key: str) -> DataFrame:
 
 
 def v02_profit_by_product(t: Portfolio) -> DataFrame:
+    """Profit by product with an LR label (profit ascending)."""
     g = _rollup_by(t, "product_type")
     lr = round_even(ieee_ratio(F.col("sinistres"), F.col("primes"), 100.0), 1)
     out = g.select(
@@ -61,6 +63,7 @@ def v02_profit_by_product(t: Portfolio) -> DataFrame:
 
 
 def v03_country_bands(t: Portfolio) -> DataFrame:
+    """Loss ratio by country with colour band and label (LR ascending, NaN last)."""
     g = _rollup_by(t, "country")
     lr = round_even(ieee_ratio(F.col("sinistres"), F.col("primes"), 100.0), 1)
     out = g.select(
@@ -83,6 +86,7 @@ def v03_country_bands(t: Portfolio) -> DataFrame:
 
 
 def v04_trend(t: Portfolio) -> DataFrame:
+    """Premiums, claims and loss ratio by start year with their labels."""
     g = _rollup_by(t, "annee_debut")
     lr = round_even(ieee_ratio(F.col("sinistres"), F.col("primes"), 100.0), 1)
     out = g.select(
@@ -117,6 +121,7 @@ V05_COLUMNS = (*AGENT_KEYS, "nb", "primes", "sin", "profit", "lr_pct", "statut")
 
 
 def v05_agent_scatter(t: Portfolio) -> DataFrame:
+    """Per-agent volume, profit, loss ratio (NULL without premium) and status."""
     return _agent_scatter(t).select(*V05_COLUMNS)
 
 
@@ -148,11 +153,13 @@ def _lr_of_priced_contracts(t: Portfolio) -> DataFrame:
 
 
 def v07_lr_histogram(t: Portfolio, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """AG-18: 60-bin histogram of the loss ratio of priced contracts, with zones."""
     h = equal_width_histogram(_lr_of_priced_contracts(t), "lr", bins)
     return h.withColumn("zone", L.lr_zone(F.col("lo")))
 
 
 def v07b_lr_summary(t: Portfolio) -> DataFrame:
+    """Counts on each side of 100 %, mean and max loss ratio of priced contracts."""
     lr = F.col("lr")
     return _lr_of_priced_contracts(t).agg(
         F.count(lr).alias("n_contrats"),
@@ -164,6 +171,7 @@ def v07b_lr_summary(t: Portfolio) -> DataFrame:
 
 
 def v08_portfolio_treemap(t: Portfolio) -> DataFrame:
+    """AG-19: premium totals and LR by country and product with rollup levels."""
     leaf = (
         _keys_present(policy_facts(t), "country", "product_type")
         .groupBy("country", "product_type")

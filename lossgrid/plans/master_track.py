@@ -58,28 +58,34 @@ def _keys_present(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def n01_audit(t: Portfolio) -> DataFrame:
+    """DQ-1..7: per table and column — rows, columns, duplicate rows, NULLs, type."""
     return quality.audit_all(t)
 
 
 def n02_categories(t: Portfolio) -> DataFrame:
+    """DQ-8: distinct values of country, product_type, status and region."""
     return quality.categories(t)
 
 
 def n03_inverted_contracts(t: Portfolio) -> DataFrame:
+    """DQ-9: contracts whose start date is after their end date."""
     return quality.inverted_contracts(t.policies)
 
 
 def n04_clients_without_policy(t: Portfolio) -> DataFrame:
+    """DQ-10: ids of clients holding no policy."""
     return quality.clients_without_policy(t.clients, t.policies)
 
 
 def n04b_clients_without_policy_count(t: Portfolio) -> DataFrame:
+    """DQ-10: how many clients hold no policy."""
     return quality.clients_without_policy(t.clients, t.policies).agg(
         F.count(F.lit(1)).alias("n_clients_without_policy")
     )
 
 
 def n05_date_summary(t: Portfolio) -> DataFrame:
+    """DQ-11: mean contract duration in days and the claim date range."""
     return quality.date_summary(t.policies, t.claims)
 
 
@@ -87,16 +93,19 @@ def n05_date_summary(t: Portfolio) -> DataFrame:
 
 
 def n06_premiums_agg(t: Portfolio) -> DataFrame:
+    """AG-1: premium total per policy."""
     p = premium_totals(t)
     return p.select("policy_id", dbl(F.col("total_premium")).alias("total_premium"))
 
 
 def n07_claims_all(t: Portfolio) -> DataFrame:
+    """AG-1: claim total and count per policy, every status."""
     c = claim_totals(t)
     return c.select("policy_id", dbl(F.col("total_claim")).alias("total_claim"), "nb_claims")
 
 
 def n08_claims_accepted(t: Portfolio) -> DataFrame:
+    """AG-1: accepted-claim total and count per policy."""
     c = accepted_claim_totals(t)
     return c.select(
         "policy_id",
@@ -106,6 +115,7 @@ def n08_claims_accepted(t: Portfolio) -> DataFrame:
 
 
 def n09_master(t: Portfolio) -> DataFrame:
+    """One row per policy with client, agent and fact columns (23 columns)."""
     return master(t)
 
 
@@ -118,6 +128,7 @@ def n09b_master_preview(t: Portfolio, n: int = 5) -> DataFrame:
 
 
 def n10_global_kpis(t: Portfolio) -> DataFrame:
+    """AG-8/10/11: portfolio totals, loss ratio, margin, mean premium, acceptance, counts."""
     f = policy_facts(t)
     g = f.agg(
         F.sum("total_premium").alias("ca"),
@@ -146,6 +157,7 @@ def n10_global_kpis(t: Portfolio) -> DataFrame:
 
 
 def n11_product(t: Portfolio) -> DataFrame:
+    """P&L, loss ratio, margin, frequency and mean claim cost by product (LR desc)."""
     g = (
         _keys_present(policy_facts(t), "product_type")
         .groupBy("product_type")
@@ -182,6 +194,7 @@ def _country_rollup(t: Portfolio) -> DataFrame:
 
 
 def n12_country(t: Portfolio) -> DataFrame:
+    """P&L, loss ratio, share of premiums and result per contract by country (LR desc)."""
     g = _country_rollup(t)
     everything = Window.partitionBy()
     prim, sin, prof = F.col("primes"), F.col("sinistres"), F.col("profit")
@@ -224,6 +237,7 @@ def n13b_country_product_pivot(t: Portfolio) -> DataFrame:
 
 
 def n14_yearly(t: Portfolio) -> DataFrame:
+    """P&L by contract start year with premium growth and the year signal."""
     g = (
         _keys_present(policy_facts(t), "annee_debut")
         .groupBy("annee_debut")
@@ -246,6 +260,7 @@ def n14_yearly(t: Portfolio) -> DataFrame:
 
 
 def n15_risk_by_product(t: Portfolio) -> DataFrame:
+    """Frequency, severity, risk cost and acceptance rate by product."""
     g = (
         _keys_present(policy_facts(t), "product_type")
         .groupBy("product_type")
@@ -338,10 +353,12 @@ def _money_out(df: DataFrame, *money: str) -> DataFrame:
 
 
 def n17_client_clv(t: Portfolio) -> DataFrame:
+    """Customer lifetime value per client with its loss ratio and segment."""
     return _money_out(client_clv(t), "primes", "sinistres", "clv")
 
 
 def n18_clv_segments(t: Portfolio) -> DataFrame:
+    """Clients, CLV total and mean, and share of clients per CLV segment."""
     clv = client_clv(t)
     g = clv.groupBy("segment_order", "segment").agg(
         F.count("client_id").alias("nb"),
@@ -410,11 +427,13 @@ _CLIENT_COLS = ("client_id", "nb_contrats", "primes", "sinistres", "clv", "lr_pc
 
 
 def n20_top10_clients(t: Portfolio) -> DataFrame:
+    """SL-4: the 10 clients with the highest CLV (ties: lower id first)."""
     c = client_clv(t).orderBy(F.col("clv").desc_nulls_last(), "client_id").limit(10)
     return _money_out(c.select(*_CLIENT_COLS), "primes", "sinistres", "clv")
 
 
 def n21_bottom10_clients(t: Portfolio) -> DataFrame:
+    """SL-4: the 10 clients with the lowest CLV (ties: lower id first)."""
     c = client_clv(t).orderBy(F.col("clv").asc_nulls_last(), "client_id").limit(10)
     return _money_out(c.select(*_CLIENT_COLS), "primes", "sinistres", "clv")
 
@@ -434,6 +453,7 @@ def agent_rollup(t: Portfolio) -> DataFrame:
 
 
 def agent_performance(t: Portfolio) -> DataFrame:
+    """Per-agent P&L with loss ratio (+inf without premium) and label, DECIMAL money."""
     g = agent_rollup(t)
     return g.select(
         *AGENT_KEYS,
@@ -447,16 +467,19 @@ def agent_performance(t: Portfolio) -> DataFrame:
 
 
 def n22_agent_performance(t: Portfolio) -> DataFrame:
+    """P&L, loss ratio and performance label per agent."""
     return _money_out(agent_performance(t), "primes", "sinistres", "profit")
 
 
 def n23_top10_agents(t: Portfolio) -> DataFrame:
+    """SL-4: the 10 most profitable agents."""
     a = agent_performance(t).orderBy(F.col("profit").desc_nulls_last(), *AGENT_KEYS).limit(10)
     a = a.select(*AGENT_KEYS, "nb_contrats", "primes", "profit", "lr_pct")
     return _money_out(a, "primes", "profit")
 
 
 def n24_bottom10_agents(t: Portfolio) -> DataFrame:
+    """SL-4: the 10 least profitable agents."""
     a = agent_performance(t).orderBy(F.col("profit").asc_nulls_last(), *AGENT_KEYS).limit(10)
     a = a.select(*AGENT_KEYS, "nb_contrats", "primes", "sinistres", "profit", "lr_pct")
     return _money_out(a, "primes", "sinistres", "profit")
@@ -475,6 +498,7 @@ def n25b_agent_lookup(t: Portfolio, agent_id: int = 127) -> DataFrame:
 
 
 def n26_experience_profit_corr(t: Portfolio) -> DataFrame:
+    """AG-15: Pearson correlation of agent experience and agent profit."""
     g = agent_rollup(t)
     return g.agg(
         round_even(F.corr(dbl(F.col("experience_years")), dbl(F.col("profit"))), 3).alias(

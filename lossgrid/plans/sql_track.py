@@ -92,6 +92,7 @@ def _per_policy(x: Column) -> Column:
 
 
 def s01_pnl_by_year(t: Portfolio) -> DataFrame:
+    """Premiums by payment year beside accepted claims by claim year (full outer join)."""
     yp = (
         t.premiums.filter(F.col("payment_date").isNotNull())
         .groupBy(F.year("payment_date").alias("annee"))
@@ -124,6 +125,7 @@ def _money_block() -> list[Column]:
 
 
 def s02_product_profitability(t: Portfolio) -> DataFrame:
+    """P&L, loss ratio, frequency, severity and risk cost by product, fan-out included."""
     g = _grouped_fanout(t.policies.select("policy_id", "product_type"), t, ["product_type"])
     out = g.select(
         "product_type",
@@ -139,6 +141,7 @@ def s02_product_profitability(t: Portfolio) -> DataFrame:
 
 
 def s03_country_performance(t: Portfolio) -> DataFrame:
+    """P&L, loss ratio, result per policy and share of premiums by client country."""
     left = t.clients.select("client_id", "country").join(
         t.policies.select("policy_id", "client_id"), "client_id"
     )
@@ -166,6 +169,7 @@ def _agent_groups(t: Portfolio) -> DataFrame:
 
 
 def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
+    """The k agents with the highest net profit."""
     g = _agent_groups(t)
     out = g.select(
         *AGENT_KEYS,
@@ -178,6 +182,7 @@ def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
 
 
 def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> DataFrame:
+    """The k clients with the highest technical CLV, with first policy and tenure."""
     left = t.clients.join(t.policies.select("policy_id", "client_id", "start_date"), "client_id")
     g = _grouped_fanout(
         left.select("policy_id", "client_id", "age", "country", "start_date"),
@@ -201,6 +206,7 @@ def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> Da
 
 
 def s06_frequency_severity(t: Portfolio) -> DataFrame:
+    """Frequency, severity, risk cost, mean premium and cover ratio by product."""
     g = _grouped_fanout(t.policies.select("policy_id", "product_type"), t, ["product_type"])
     out = g.select(
         "product_type",
@@ -251,6 +257,7 @@ def s07_cohort_retention(t: Portfolio) -> DataFrame:
 
 
 def s08_underperforming_agents(t: Portfolio, min_policies: int = MIN_POLICIES_PER_AGENT) -> DataFrame:
+    """Agents with at least 3 policies and a loss ratio above 200 % (or none), with alert level."""
     g = _agent_groups(t).filter(_nb() >= min_policies)
     lr_null = (_sp() == 0) | _sp().isNull()
     flagged = g.filter(ratio_exceeds(_sin0(), _sp(), 200) | lr_null)
@@ -266,6 +273,7 @@ def s08_underperforming_agents(t: Portfolio, min_policies: int = MIN_POLICIES_PE
 
 
 def s09_country_product_heatmap(t: Portfolio) -> DataFrame:
+    """Loss ratio (ratio of sums) by country and product."""
     left = t.clients.select("client_id", "country").join(
         t.policies.select("policy_id", "client_id", "product_type"), "client_id"
     )
@@ -297,6 +305,7 @@ def s10_combined_ratio(t: Portfolio, expense_pct: float = EXPENSE_RATIO_PCT) ->
 
 
 def s11_row_counts(t: Portfolio) -> DataFrame:
+    """DQ-2: row count of each of the five tables."""
     return quality.row_counts(t)
 
 
