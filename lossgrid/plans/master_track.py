@@ -195,8 +195,8 @@ def _country_rollup(t: Portfolio) -> DataFrame:
 
 def n12_country(t: Portfolio) -> DataFrame:
     """P&L, loss ratio, share of premiums and result per contract by country (LR desc)."""
-    g = _country_rollup(t)
-    everything = Window.partitionBy()
+    # The grand total over the (few) country rows, computed once.
+    g = _country_rollup(t).withColumn("all_primes", F.sum("primes").over(Window.partitionBy()))
     prim, sin, prof = F.col("primes"), F.col("sinistres"), F.col("profit")
     out = g.select(
         "country",
@@ -205,7 +205,7 @@ def n12_country(t: Portfolio) -> DataFrame:
         dbl(sin).alias("sinistres"),
         dbl(prof).alias("profit"),
         round_even(ieee_ratio(sin, prim, 100.0), 1).alias("lr_pct"),
-        round_even(ieee_ratio(prim, F.sum(prim).over(everything), 100.0), 1).alias("part_ca_pct"),
+        round_even(ieee_ratio(prim, F.col("all_primes"), 100.0), 1).alias("part_ca_pct"),
         round_even(ieee_ratio(prof, F.col("nb")), 0).alias("perte_unit"),
     )
     return out.orderBy(*pandas_desc(F.col("lr_pct")), "country")
@@ -243,10 +243,11 @@ def n14_yearly(t: Portfolio) -> DataFrame:
         .groupBy("annee_debut")
         .agg(F.count("policy_id").alias("nb_contrats"), _primes(), _sinistres(), _profit())
     )
-    by_year = Window.orderBy("annee_debut")
+    # Previous present year over the (few) yearly rows.
+    g = g.withColumn("prev_primes", F.lag("primes").over(Window.orderBy("annee_debut")))
     prim, sin = F.col("primes"), F.col("sinistres")
     lr = round_even(ieee_ratio(sin, prim, 100.0), 1)
-    growth = (ieee_ratio(prim, F.lag(prim).over(by_year)) - F.lit(1.0)) * F.lit(100.0)
+    growth = (ieee_ratio(prim, F.col("prev_primes")) - F.lit(1.0)) * F.lit(100.0)
     out = g.select(
         "annee_debut",
         "nb_contrats",
@@ -365,14 +366,15 @@ def n18_clv_segments(t: Portfolio) -> DataFrame:
         F.sum("clv").alias("clv_total"),
         F.count("clv").alias("n_clv"),
     )
-    everything = Window.partitionBy()
+    # Every client counts in the share, including any without a segment.
+    g = g.withColumn("all_clients", F.sum("nb").over(Window.partitionBy()))
     out = g.select(
         "segment_order",
         "segment",
         "nb",
         round_even(dbl(F.col("clv_total")), 0).alias("clv_total"),
         round_even(div(F.col("clv_total"), F.col("n_clv")), 0).alias("clv_moyen"),
-        round_even(ieee_ratio(F.col("nb"), F.sum("nb").over(everything), 100.0), 1).alias("part_pct"),
+        round_even(ieee_ratio(F.col("nb"), F.col("all_clients"), 100.0), 1).alias("part_pct"),
     )
     return out.filter(F.col("segment").isNotNull()).orderBy("segment_order")
 

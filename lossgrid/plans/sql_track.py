@@ -244,7 +244,8 @@ def s07_cohort_retention(t: Portfolio) -> DataFrame:
         F.count("client_id").alias("clients_actifs")
     )
     w = Window.partitionBy("annee_cohorte").orderBy("annee_activite")
-    prev = F.lag("clients_actifs").over(w)
+    counts = counts.withColumn("prev", F.lag("clients_actifs").over(w))
+    prev = F.col("prev")
     out = counts.select(
         "annee_cohorte",
         "annee_activite",
