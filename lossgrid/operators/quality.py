@@ -114,6 +114,21 @@ def preview(df, key: str, n: int = 5):
     return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
 
 
+def table_previews(t: Portfolio, n: int = 3) -> DataFrame:
+    """DQ-6 for the five tables: ``table_name, row_text`` of the first ``n`` rows.
+
+    Rows are ordered by all their columns (a total order, so the preview is
+    the same on every run); each table is a top-n (``TakeOrderedAndProject``).
+    """
+    out = None
+    for name, df in t.tables().items():
+        order = [F.col(c).asc_nulls_last() for c in df.columns]
+        text = F.concat_ws(", ", *[F.col(c).cast("string") for c in df.columns])
+        part = df.orderBy(*order).limit(n).select(F.lit(name).alias("table_name"), text.alias("row_text"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def clients_without_policy(clients: DataFrame, policies: DataFrame) -> DataFrame:
     """DQ-10 / JN-6 / SO-2: distinct client ids absent from policies.
 

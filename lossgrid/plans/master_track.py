@@ -62,6 +62,17 @@ def n01_audit(t: Portfolio) -> DataFrame:
     return quality.audit_all(t)
 
 
+def n01b_null_columns(t: Portfolio) -> DataFrame:
+    """DQ-4: only the columns that hold NULLs, with their count."""
+    a = quality.audit_all(t)
+    return a.filter(F.col("n_nulls") > 0).select("table_name", "column_name", "n_nulls")
+
+
+def n01c_table_preview(t: Portfolio) -> DataFrame:
+    """DQ-6: the first three rows of each table (ordered by all columns)."""
+    return quality.table_previews(t, 3)
+
+
 def n02_categories(t: Portfolio) -> DataFrame:
     """DQ-8: distinct values of country, product_type, status and region."""
     return quality.categories(t)
@@ -511,6 +522,8 @@ def n26_experience_profit_corr(t: Portfolio) -> DataFrame:
 
 QUERIES = {
     "n01_audit": n01_audit,
+    "n01b_null_columns": n01b_null_columns,
+    "n01c_table_preview": n01c_table_preview,
     "n02_categories": n02_categories,
     "n03_inverted_contracts": n03_inverted_contracts,
     "n04_clients_without_policy": n04_clients_without_policy,
