@@ -34,18 +34,24 @@ MASTER_COLUMNS = (
 MONEY_COLUMNS = ("total_premium", "total_claim", "total_claim_accepted", "profit")
 
 
-def policy_facts(t: Portfolio) -> DataFrame:
-    """Master rows with DECIMAL money (internal form used by every rollup)."""
+def policy_facts(t: Portfolio, last_dimension: str = "agents") -> DataFrame:
+    """Master rows with DECIMAL money (internal form used by every rollup).
+
+    The two dimension joins commute (same rows, same multiplicities); the one
+    joined last leaves the rows hash-partitioned on its key, so a rollup by
+    client asks for ``last_dimension="clients"`` and groups without another
+    exchange, while the default suits the agent rollups.
+    """
     if t.facts is not None:
         return t.facts
     prem_side = premium_side(t).select("policy_id", "sum_prem")
     clm_side = claim_side(t).select("policy_id", "total_claim", "nb_claims", "sum_claim", "n_claim_ids")
-    facts = (
-        t.policies.join(prem_side, "policy_id", "left")
-        .join(clm_side, "policy_id", "left")
-        .join(t.clients, "client_id", "left")
-        .join(t.agents, "agent_id", "left")
-    )
+    dims = [(t.clients, "client_id"), (t.agents, "agent_id")]
+    if last_dimension == "clients":
+        dims.reverse()
+    facts = t.policies.join(prem_side, "policy_id", "left").join(clm_side, "policy_id", "left")
+    for dim, key in dims:
+        facts = facts.join(dim, key, "left")
     prem = F.coalesce(F.col("sum_prem"), zero_money())
     acc = F.coalesce(F.col("sum_claim"), zero_money())
     profit = prem - acc

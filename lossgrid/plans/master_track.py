@@ -337,7 +337,7 @@ def n16_claim_amount_describe(t: Portfolio) -> DataFrame:
 def client_clv(t: Portfolio) -> DataFrame:
     """Per-client rollup with DECIMAL money (internal form of n17)."""
     g = (
-        _keys_present(policy_facts(t), "client_id")
+        _keys_present(policy_facts(t, last_dimension="clients"), "client_id")
         .groupBy("client_id")
         .agg(
             F.count("policy_id").alias("nb_contrats"),

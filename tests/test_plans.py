@@ -38,3 +38,19 @@ def test_sql_track_never_joins_premium_rows_to_claim_rows(t):
     # the fan-out is computed from per-policy aggregates: every join input is aggregated
     plan = QUERIES["s02_product_profitability"](t)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 4
+
+
+@pytest.mark.parametrize("name,key", [("n17_client_clv", "client_id"), ("n22_agent_performance", "agent_id")])
+def test_rollup_reuses_the_last_join_partitioning(spark, t, name, key):
+    import re
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(QUERIES[name](t))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # only the two sides of the dimension join shuffle on the key; the rollup reuses it
+    assert len(re.findall(rf"Exchange hashpartitioning\({key}#", plan)) == 2
