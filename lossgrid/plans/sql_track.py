@@ -32,15 +32,32 @@ from ..sources.schemas import EXPENSE_RATIO_PCT, MIN_POLICIES_PER_AGENT
 AS_OF = dt.date(2025, 12, 31)
 
 
-def _grouped_fanout(left: DataFrame, t: Portfolio, keys: list[str]) -> DataFrame:
-    """Aggregate ``left ⋈ premiums ⟕ accepted claims`` by ``keys``.
+def _grouped_fanout(t: Portfolio, keys: list[str], policy_cols: tuple[str, ...] = (),
+                    dim: DataFrame | None = None, dim_key: str | None = None) -> DataFrame:
+    """Aggregate ``[dim ⋈] policies ⋈ premiums ⟕ accepted claims`` by ``keys``.
+
+    Inner joins commute, so the join order is free (rows and multiplicities
+    are those of the statement) and is chosen for the partitioning it
+    leaves: when the groups are keyed by the dimension key (per agent, per
+    client) the fan-out weights are attached at policy grain first and the
+    dimension is joined last, so both aggregation levels reuse that join's
+    partitioning; otherwise (per country) the dimension is joined first and
+    the first aggregation level reuses the ``policy_id`` partitioning of the
+    fact joins.
 
     Output: keys, nb (COUNT DISTINCT policy_id), sp (SUM pr.amount), sc
     (SUM c.claim_amount, NULL when none), n_ids (COUNT c.claim_id), n_amt
     (COUNT c.claim_amount), first_start (MIN start_date when present).
     """
-    w = weighted_fanout(left, t)
-    has_start = "start_date" in left.columns
+    dim_cols = [dim_key] if dim is not None else []
+    left = t.policies.select("policy_id", *policy_cols, *dim_cols)
+    if dim is not None and dim_key in keys:
+        w = dim.join(weighted_fanout(left, t), dim_key)
+    elif dim is not None:
+        w = weighted_fanout(dim.join(left, dim_key), t)
+    else:
+        w = weighted_fanout(left, t)
+    has_start = "start_date" in policy_cols
     per_policy = w.groupBy(*keys, "policy_id").agg(
         F.sum("w_prem_amount").alias("sp"),
         F.sum("w_claim_amount").alias("sc"),
@@ -126,7 +143,7 @@ def _money_block() -> list[Column]:
 
 def s02_product_profitability(t: Portfolio) -> DataFrame:
     """P&L, loss ratio, frequency, severity and risk cost by product, fan-out included."""
-    g = _grouped_fanout(t.policies.select("policy_id", "product_type"), t, ["product_type"])
+    g = _grouped_fanout(t, ["product_type"], ("product_type",))
     out = g.select(
         "product_type",
         _nb().alias("nb_polices"),
@@ -142,10 +159,7 @@ def s02_product_profitability(t: Portfolio) -> DataFrame:
 
 def s03_country_performance(t: Portfolio) -> DataFrame:
     """P&L, loss ratio, result per policy and share of premiums by client country."""
-    left = t.clients.select("client_id", "country").join(
-        t.policies.select("policy_id", "client_id"), "client_id"
-    )
-    g = _grouped_fanout(left.select("policy_id", "country"), t, ["country"])
+    g = _grouped_fanout(t, ["country"], dim=t.clients.select("client_id", "country"), dim_key="client_id")
     everything = Window.partitionBy()
     share = (dbl(_sp()) * F.lit(100.0)) / dbl(nullif_zero(F.sum(_sp()).over(everything)))
     out = g.select(
@@ -164,8 +178,7 @@ AGENT_KEYS = ["agent_id", "region", "experience_years"]
 
 
 def _agent_groups(t: Portfolio) -> DataFrame:
-    left = t.agents.join(t.policies.select("policy_id", "agent_id"), "agent_id")
-    return _grouped_fanout(left.select("policy_id", *AGENT_KEYS), t, AGENT_KEYS)
+    return _grouped_fanout(t, AGENT_KEYS, dim=t.agents.select(*AGENT_KEYS), dim_key="agent_id")
 
 
 def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
@@ -183,11 +196,12 @@ def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
 
 def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> DataFrame:
     """The k clients with the highest technical CLV, with first policy and tenure."""
-    left = t.clients.join(t.policies.select("policy_id", "client_id", "start_date"), "client_id")
     g = _grouped_fanout(
-        left.select("policy_id", "client_id", "age", "country", "start_date"),
         t,
         ["client_id", "age", "country"],
+        ("start_date",),
+        dim=t.clients.select("client_id", "age", "country"),
+        dim_key="client_id",
     )
     out = g.select(
         "client_id",
@@ -207,7 +221,7 @@ def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> Da
 
 def s06_frequency_severity(t: Portfolio) -> DataFrame:
     """Frequency, severity, risk cost, mean premium and cover ratio by product."""
-    g = _grouped_fanout(t.policies.select("policy_id", "product_type"), t, ["product_type"])
+    g = _grouped_fanout(t, ["product_type"], ("product_type",))
     out = g.select(
         "product_type",
         _nb().alias("nb_polices"),
@@ -275,11 +289,12 @@ def s08_underperforming_agents(t: Portfolio, min_policies: int = MIN_POLICIES_PE
 
 def s09_country_product_heatmap(t: Portfolio) -> DataFrame:
     """Loss ratio (ratio of sums) by country and product."""
-    left = t.clients.select("client_id", "country").join(
-        t.policies.select("policy_id", "client_id", "product_type"), "client_id"
-    )
     g = _grouped_fanout(
-        left.select("policy_id", "country", "product_type"), t, ["country", "product_type"]
+        t,
+        ["country", "product_type"],
+        ("product_type",),
+        dim=t.clients.select("client_id", "country"),
+        dim_key="client_id",
     )
     out = g.select(
         "country",
