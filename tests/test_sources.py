@@ -102,3 +102,13 @@ def test_write_report_writes_every_result(spark):
     assert set(written) == set(QUERIES)
     assert spark.read.parquet(written["n11_product"]).count() == 4
     assert spark.read.parquet(written["n09_master"]).count() == t.policies.count()
+
+
+def test_command_line_writes_and_shows(spark, capsys):
+    from lossgrid.__main__ import main
+
+    out = _scratch()
+    assert main(["--mapped", SF_SMALL, "--query", "s10_combined_ratio", "--out", out, "--format", "csv"]) == 0
+    printed = capsys.readouterr().out
+    assert "combined_ratio_estime_pct" in printed and "n11_product\t" in printed
+    assert spark.read.option("header", True).csv(f"{out}/n11_product").count() == 4
