@@ -43,9 +43,13 @@ class _Search:
 
 
 def _bucket(v: Column, lo, hi, buckets: int) -> Column:
-    lo_d = float(lo)
-    width = float(hi) - lo_d
-    raw = F.floor((v.cast("double") - F.lit(lo_d)) / F.lit(width) * F.lit(float(buckets)))
+    """Bucket 0 .. buckets-1 of ``v`` in ``[lo, hi]``: monotone, lo -> 0, hi -> last."""
+    lo_d, hi_d = float(lo), float(hi)
+    if hi_d > lo_d:
+        raw = F.floor((v.cast("double") - F.lit(lo_d)) / F.lit(hi_d - lo_d) * F.lit(float(buckets)))
+    else:
+        # The ends differ only beyond double precision: bucket on exact decimals.
+        raw = F.floor((v - F.lit(lo)) * F.lit(buckets) / (F.lit(hi) - F.lit(lo)))
     return F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1)).cast("int")
 
 

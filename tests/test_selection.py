@@ -64,3 +64,14 @@ def test_linear_quantiles_match_numpy(spark):
     got = [sel.linear_quantile(order, len(values), p) for p in probs]
     want = np.percentile(np.array([float(v) for v in values]), [25, 50, 75])
     assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_values_beyond_double_precision(spark, monkeypatch):
+    # neighbours 0.01 apart around 10^20 collapse to one double; the search must stay exact
+    monkeypatch.setattr(sel, "SMALL_INTERVAL_ROWS", 0)
+    base = Decimal("100000000000000000000.00")
+    values = [base + Decimal(k).scaleb(-2) for k in (5, 1, 9, 3, 3, 7, 0, 2)]
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(38,2)").repartition(3)
+    ordered = sorted(values)
+    ranks = list(range(len(values)))
+    assert sel.order_statistics(df, "v", ranks, buckets=4) == {r: ordered[r] for r in ranks}
