@@ -35,7 +35,8 @@ def build_report(t: Portfolio, *, include_sql_track: bool = True) -> dict[str, D
     shared = sides.with_facts(materialize(policy_facts(sides)))
     out: dict[str, DataFrame] = {}
     if include_sql_track:
-        out.update({name: fn(sides) for name, fn in sql_track.QUERIES.items()})
+        weighted = sides.with_weighted_policies(materialize(sql_track.weighted_policies(sides)))
+        out.update({name: fn(weighted) for name, fn in sql_track.QUERIES.items()})
     for name, fn in master_track.QUERIES.items():
         out[name] = fn(sides if name in RAW_TABLE_QUERIES else shared)
     out.update({name: fn(shared) for name, fn in charts.QUERIES.items()})

@@ -51,7 +51,13 @@ def _grouped_fanout(t: Portfolio, keys: list[str], policy_cols: tuple[str, ...]
     """
     dim_cols = [dim_key] if dim is not None else []
     left = t.policies.select("policy_id", *policy_cols, *dim_cols)
-    if dim is not None and dim_key in keys:
+    if t.weighted_policies is not None:
+        # Report mode: the weighted policy rows were materialised once.
+        weights = ("w_prem_amount", "w_claim_amount", "w_claim_ids", "w_claim_amounts")
+        w = t.weighted_policies.select("policy_id", *policy_cols, *dim_cols, *weights)
+        if dim is not None:
+            w = dim.join(w, dim_key)
+    elif dim is not None and dim_key in keys:
         w = dim.join(weighted_fanout(left, t), dim_key)
     elif dim is not None:
         w = weighted_fanout(dim.join(left, dim_key), t)
@@ -320,6 +326,14 @@ def s10_combined_ratio(t: Portfolio, expense_pct: float = EXPENSE_RATIO_PCT) ->
     )
 
 
+WEIGHTED_POLICY_COLUMNS = ("policy_id", "product_type", "start_date", "client_id", "agent_id")
+
+
+def weighted_policies(t: Portfolio) -> DataFrame:
+    """Policy rows having a premium, with their fan-out weights (shared by s02-s09)."""
+    return weighted_fanout(t.policies.select(*WEIGHTED_POLICY_COLUMNS), t)
+
+
 def s11_row_counts(t: Portfolio) -> DataFrame:
     """DQ-2: row count of each of the five tables."""
     return quality.row_counts(t)

@@ -31,6 +31,8 @@ class Portfolio:
     # (see lossgrid.operators.facts); both tracks read them when set.
     premium_side: DataFrame | None = field(default=None, compare=False)
     claim_side: DataFrame | None = field(default=None, compare=False)
+    # Optional precomputed policy rows carrying the SQL-track fan-out weights.
+    weighted_policies: DataFrame | None = field(default=None, compare=False)
 
     def with_facts(self, facts: DataFrame) -> "Portfolio":
         return replace(self, facts=facts)
@@ -38,6 +40,9 @@ class Portfolio:
     def with_sides(self, premium_side: DataFrame, claim_side: DataFrame) -> "Portfolio":
         return replace(self, premium_side=premium_side, claim_side=claim_side)
 
+    def with_weighted_policies(self, weighted: DataFrame) -> "Portfolio":
+        return replace(self, weighted_policies=weighted)
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_ORDER}
 
