@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, toxicity
+from . import exact_dedup, html, langid, licenses, minhash, mixing, packing, quality, substring, toxicity
 from .util import id_fold, stage, table
 
 #: Scores from here on mean toxic.
 TOXIC = 0.7
+#: Documents are kept from this probability of good quality on.
+GOOD = 0.5
 
 
 def tokenizer_path() -> str:
@@ -29,6 +31,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "doc_row")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select("doc_id", *quality.COUNTS, failed.alias("base_failed"), (~failed & (F.col("quality") >= GOOD)).alias("kept"), "quality")
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
     mixed = mixing.mix(stage(sizes, "document-sizes"))
@@ -39,6 +51,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id (null parts: -), the only tree that the tables name."""
+    documents = table(spark, sf_dir, "documents")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("source", "lang", "doc_id")]
+    found = licenses.scan(documents.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", *parts).alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.learn(documents, usable=lambda doc_id: id_fold(doc_id, 4) != 2)
+    predicted = langid.predict(documents, model)
+    return predicted.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -50,6 +77,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,10 +90,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
+    "op3_substring": op3_substring,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_licenses": op6_licenses,
+    "op7_langid": op7_langid,
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
+    "op10_html": op10_html,
     "pipeline": pipeline,
 }
 
