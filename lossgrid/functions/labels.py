@@ -92,7 +92,7 @@ def combined_verdict(claims: Column, premiums: Column, expense_pct: float) -> Co
     Equivalent to ``(claims + premiums * expense / 100) / premiums * 100 > 100``;
     NULL (no accepted claim) falls to the else branch.
     """
-    expense_share = F.lit(Decimal(repr(expense_pct / 100)))
+    expense_share = F.lit(Decimal(str(expense_pct)) / 100)
     loss = ratio_exceeds(claims + premiums * expense_share, premiums, 100)
     return F.when(loss, VERDICT_LOSS).otherwise(VERDICT_PROFIT)
 

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 
 def float_str(x: Column) -> Column:
-    """``str(float)`` for values of ordinary magnitude (already rounded)."""
+    """``str(float)`` of a value rounded to one digit: plain digits below 1e16."""
     return (
         F.when(F.isnan(x), F.lit("nan"))
         .when(x == float("inf"), F.lit("inf"))
         .when(x == float("-inf"), F.lit("-inf"))
+        .when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16), x.cast("decimal(38,1)").cast("string"))
         .otherwise(x.cast("string"))
     )
 
@@ -37,6 +38,11 @@ def grouped0(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
+def signed0(x: Column) -> Column:
+    """``f'{x:+,.0f}'``."""
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("+")), F.format_number(F.abs(x), 0))
+
+
 def agent_label(agent_id: Column, region: Column, experience: Column) -> Column:
     """``Agent {id} | {region[:3]} | {exp}ans``."""
     return F.concat(

@@ -6,10 +6,12 @@ it; :func:`master` is the 23-column export with money as DOUBLE.
 Plan shape: premiums and claims are aggregated per policy (the two fact
 sides of :mod:`lossgrid.operators.facts`; partial + final hash aggregate,
 one shuffle each), policies is shuffled once on ``policy_id`` and both fact
-joins reuse that partitioning.  Clients and
-agents are dimension joins; AQE broadcasts them when their measured size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a
-sort-merge join, splitting a skewed client or agent key.
+joins reuse that partitioning.  Clients and agents are joined only where
+their columns are read: AQE broadcasts them when their measured size is under
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a sort-merge
+join.  Rollups by client or agent aggregate by that key first (with map-side
+combining) and meet the dimension with one row per key, so a key that holds a
+third of all policies never gathers its policies in one task.
 """
 
 from __future__ import annotations
@@ -34,32 +36,63 @@ MASTER_COLUMNS = (
 MONEY_COLUMNS = ("total_premium", "total_claim", "total_claim_accepted", "profit")
 
 
-def policy_facts(t: Portfolio, last_dimension: str = "agents") -> DataFrame:
+DIMENSIONS = {"clients": "client_id", "agents": "agent_id"}
+# Duplicate dimension keys up to this many are broadcast, beyond it shuffled.
+MAX_BROADCAST_KEYS = 100_000
+
+
+def key_copies(t: Portfolio, name: str) -> DataFrame | None:
+    """``key, copies`` of the keys that dimension ``name`` holds more than once; None if none.
+
+    A left join to a dimension repeats a policy once for each row of its key,
+    so a rollup that reads no column of the dimension needs only these counts.
+    They are counted once per portfolio, which also tells whether they may be
+    broadcast.
+    """
+    if name not in t.copies:
+        key = DIMENSIONS[name]
+        rows = getattr(t, name).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+        rows = rows.filter(F.col("_copies") > 1)
+        n = rows.limit(MAX_BROADCAST_KEYS + 1).count()
+        t.copies[name] = None if n == 0 else F.broadcast(rows) if n <= MAX_BROADCAST_KEYS else rows
+    return t.copies[name]
+
+
+def join_dimension(rows: DataFrame, t: Portfolio, name: str) -> DataFrame:
+    """Left join to a dimension; a NULL key meets a NULL key, as a data-frame merge has it."""
+    key = DIMENSIONS[name]
+    dim = getattr(t, name).withColumnRenamed(key, "_key")
+    return rows.join(dim, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def policy_facts(t: Portfolio, need: tuple[str, ...] = ("clients", "agents"), later: tuple[str, ...] = ()) -> DataFrame:
     """Master rows with DECIMAL money (internal form used by every rollup).
 
-    The two dimension joins commute (same rows, same multiplicities); the one
-    joined last leaves the rows hash-partitioned on its key, so a rollup by
-    client asks for ``last_dimension="clients"`` and groups without another
-    exchange, while the default suits the agent rollups.
+    ``need`` names the dimensions whose columns are read; only they are
+    joined.  Of the others only the number of rows of a policy's key matters,
+    and they are not joined at all when their keys are unique.  Dimensions in
+    ``later`` are left to the caller, who joins them after grouping by key.
     """
     if t.facts is not None:
         return t.facts
     prem_side = premium_side(t).select("policy_id", "sum_prem")
     clm_side = claim_side(t).select("policy_id", "total_claim", "nb_claims", "sum_claim", "n_claim_ids")
-    dims = [(t.clients, "client_id"), (t.agents, "agent_id")]
-    if last_dimension == "clients":
-        dims.reverse()
     facts = t.policies.join(prem_side, "policy_id", "left").join(clm_side, "policy_id", "left")
-    for dim, key in dims:
-        facts = facts.join(dim, key, "left")
+    for name, key in DIMENSIONS.items():
+        if name in need:
+            facts = join_dimension(facts, t, name)
+        elif name not in later and (copies := key_copies(t, name)) is not None:
+            facts = facts.join(copies, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+            repeated = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))
+            facts = facts.withColumn("_copy", repeated).drop("_copies", "_copy")
     prem = F.coalesce(F.col("sum_prem"), zero_money())
     acc = F.coalesce(F.col("sum_claim"), zero_money())
     profit = prem - acc
+    agent = ["region", "experience_years"] if "agents" in need else []
+    client = ["age", "country", "signup_date", F.year("signup_date").alias("annee_signup")] if "clients" in need else []
     return facts.select(
         "policy_id", "client_id", "product_type", "start_date", "end_date",
-        "agent_id", "region", "experience_years",
-        "age", "country", "signup_date",
-        F.year("signup_date").alias("annee_signup"),
+        "agent_id", *agent, *client,
         prem.alias("total_premium"),
         F.coalesce(F.col("total_claim"), zero_money()).alias("total_claim"),
         acc.alias("total_claim_accepted"),

@@ -22,14 +22,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1024
-# A search interval holding at most this many rows is resolved by fetching
-# its values (sorted, bounded) instead of another histogram round.
-SMALL_INTERVAL_ROWS = 4096
 
 
 @dataclass
@@ -71,28 +70,10 @@ def order_statistics(values: DataFrame, col: str, ranks: list[int], *,
         if not 0 <= r < count:
             raise ValueError(f"rank {r} outside 0..{count - 1}")
         searches.append(_Search(rank=r, lo=vmin, hi=vmax, below=0))
-    sizes = {id(s): count for s in searches}
     while True:
         for s in searches:
             if not s.done and s.lo == s.hi:
                 s.value, s.done = s.lo, True
-        small = [s for s in searches if not s.done and sizes[id(s)] <= SMALL_INTERVAL_ROWS]
-        if small:
-            # One job fetches the (bounded) contents of every small interval.
-            tags = [
-                F.when((v >= F.lit(s.lo)) & (v <= F.lit(s.hi)), F.lit(i))
-                for i, s in enumerate(small)
-            ]
-            fetched: dict[int, list] = {}
-            for row in (
-                data.select(v, F.explode(F.array(*tags)).alias("sid"))
-                .filter(F.col("sid").isNotNull())
-                .collect()
-            ):
-                fetched.setdefault(row["sid"], []).append(row[0])
-            for i, s in enumerate(small):
-                vals = sorted(fetched.get(i, []))
-                s.value, s.done = vals[s.rank - s.below], True
         active = [s for s in searches if not s.done]
         if not active:
             break
@@ -103,8 +84,11 @@ def order_statistics(values: DataFrame, col: str, ranks: list[int], *,
             )
             for i, s in enumerate(active)
         ]
+        # Only rows inside an interval are tagged, once for each search.
+        inside = reduce(or_, [(v >= F.lit(s.lo)) & (v <= F.lit(s.hi)) for s in active])
         hist = (
-            data.select(v, F.explode(F.array(*tags)).alias("t"))
+            data.filter(inside)
+            .select(v, F.explode(F.array(*tags)).alias("t"))
             .filter(F.col("t").isNotNull())
             .groupBy(F.col("t.sid").alias("sid"), F.col("t.b").alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
@@ -118,7 +102,6 @@ def order_statistics(values: DataFrame, col: str, ranks: list[int], *,
             for row in sorted(per_search.get(i, []), key=lambda r: r["b"]):
                 if seen + row["n"] > s.rank:
                     s.lo, s.hi, s.below = row["lo"], row["hi"], seen
-                    sizes[id(s)] = row["n"]
                     break
                 seen += row["n"]
             else:  # pragma: no cover - counts always cover the rank

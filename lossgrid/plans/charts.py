@@ -25,7 +25,7 @@ HISTOGRAM_BINS = 60
 
 def v01_gauge(t: Portfolio) -> DataFrame:
     """Global loss ratio, its distance to 100 and its band."""
-    g = policy_facts(t).agg(
+    g = policy_facts(t, need=()).agg(
         F.sum("total_claim_accepted").alias("sin"), F.sum("total_premium").alias("ca")
     )
     lr = round_even(ieee_ratio(F.col("sin"), F.col("ca"), 100.0), 1)
@@ -38,7 +38,7 @@ def v01_gauge(t: Portfolio) -> DataFrame:
 
 def _rollup_by(t: Portfolio, key: str) -> DataFrame:
     return (
-        _keys_present(policy_facts(t), key)
+        _keys_present(policy_facts(t, need=("clients",) if key == "country" else ()), key)
         .groupBy(key)
         .agg(
             F.sum("total_premium").alias("primes"),
@@ -144,12 +144,13 @@ def v06_top_bottom_agents(t: Portfolio, k: int = 10) -> DataFrame:
         "groupe",
         text.agent_label(F.col("agent_id"), F.col("region"), F.col("experience_years")).alias("label"),
         L.profit_colour(F.col("profit_dec")).alias("couleur"),
+        text.signed0(F.col("profit")).alias("profit_text"),
     )
 
 
 def _lr_of_priced_contracts(t: Portfolio) -> DataFrame:
     """FLT-4: loss ratio of contracts with a positive premium."""
-    return policy_facts(t).filter(F.col("total_premium") > 0).select(F.col("loss_ratio").alias("lr"))
+    return policy_facts(t, need=()).filter(F.col("total_premium") > 0).select(F.col("loss_ratio").alias("lr"))
 
 
 def v07_lr_histogram(t: Portfolio, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -159,21 +160,33 @@ def v07_lr_histogram(t: Portfolio, bins: int = HISTOGRAM_BINS) -> DataFrame:
 
 
 def v07b_lr_summary(t: Portfolio) -> DataFrame:
-    """Counts on each side of 100 %, mean and max loss ratio of priced contracts."""
+    """Counts on each side of 100 %, mean and max loss ratio of priced contracts, with the figure's texts."""
     lr = F.col("lr")
-    return _lr_of_priced_contracts(t).agg(
+    out = _lr_of_priced_contracts(t).agg(
         F.count(lr).alias("n_contrats"),
         F.count_if(lr <= 100).alias("n_rentables"),
         F.count_if(lr > 100).alias("n_deficitaires"),
         round_even(F.avg(lr), 2).alias("lr_moyen"),
         F.max(lr).alias("lr_max"),
+        F.avg(lr).alias("mean"),
+    )
+
+    def share(n: str):
+        part = text.fixed0(ieee_ratio(F.col(n), F.col("n_contrats"), 100.0))
+        return F.concat(F.col(n).cast("string"), F.lit(" ("), part, F.lit("%)"))
+
+    return out.select(
+        "n_contrats", "n_rentables", "n_deficitaires", "lr_moyen", "lr_max",
+        share("n_rentables").alias("rentables_text"),
+        share("n_deficitaires").alias("deficitaires_text"),
+        F.concat(F.lit("Moy: "), text.fixed0(F.col("mean")), F.lit("%")).alias("moyenne_text"),
     )
 
 
 def v08_portfolio_treemap(t: Portfolio) -> DataFrame:
     """AG-19: premium totals and LR by country and product with rollup levels."""
     leaf = (
-        _keys_present(policy_facts(t), "country", "product_type")
+        _keys_present(policy_facts(t, need=("clients",)), "country", "product_type")
         .groupBy("country", "product_type")
         .agg(
             F.sum("total_premium").alias("ca"),

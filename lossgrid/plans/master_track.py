@@ -14,6 +14,8 @@ windows without ``partitionBy`` only ever run over those aggregated rows.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from ..functions import labels as L
 from ..functions.metrics import dbl, div, ieee_ratio, ratio_or, round_even
 from ..functions.ordering import pandas_desc
 from ..operators import quality
-from ..operators.facts import accepted, accepted_claim_totals, claim_totals, premium_totals
-from ..operators.master import master, policy_facts
+from ..operators.facts import accepted, accepted_claim_totals, claim_side, claim_totals, premium_side, premium_totals
+from ..operators.master import join_dimension, master, policy_facts
 from ..operators.selection import (
     fraction_size,
     linear_quantile,
@@ -32,7 +34,7 @@ from ..operators.selection import (
 )
 from ..session import materialize
 from ..sources.readers import Portfolio
-from ..sources.schemas import PRODUCTS
+
 
 def _primes():
     return F.sum("total_premium").alias("primes")
@@ -135,12 +137,23 @@ def n09_master(t: Portfolio) -> DataFrame:
 
 def n09b_master_preview(t: Portfolio, n: int = 5) -> DataFrame:
     """DQ-6 on the master: its first rows by policy id."""
-    return quality.preview(master(t), "policy_id", n)
+    if t.facts is not None:
+        return quality.preview(master(t), "policy_id", n)
+    # The first policies are found before anything is joined to them.
+    first = quality.preview(t.policies, "policy_id", n)
+    ids = F.broadcast(first.select("policy_id").distinct())
+    few = replace(
+        t,
+        policies=first,
+        premium_side=premium_side(t).join(ids, "policy_id", "left_semi"),
+        claim_side=claim_side(t).join(ids, "policy_id", "left_semi"),
+    )
+    return quality.preview(master(few), "policy_id", n)
 
 
 def n10_global_kpis(t: Portfolio) -> DataFrame:
     """AG-8/10/11: portfolio totals, loss ratio, margin, mean premium, acceptance, counts."""
-    f = policy_facts(t)
+    f = policy_facts(t, need=())
     g = f.agg(
         F.sum("total_premium").alias("ca"),
         F.sum("total_claim_accepted").alias("sin"),
@@ -170,7 +183,7 @@ def n10_global_kpis(t: Portfolio) -> DataFrame:
 def n11_product(t: Portfolio) -> DataFrame:
     """P&L, loss ratio, margin, frequency and mean claim cost by product (LR desc)."""
     g = (
-        _keys_present(policy_facts(t), "product_type")
+        _keys_present(policy_facts(t, need=()), "product_type")
         .groupBy("product_type")
         .agg(
             F.count("policy_id").alias("nb_contrats"),
@@ -198,7 +211,7 @@ def n11_product(t: Portfolio) -> DataFrame:
 
 def _country_rollup(t: Portfolio) -> DataFrame:
     return (
-        _keys_present(policy_facts(t), "country")
+        _keys_present(policy_facts(t, need=("clients",)), "country")
         .groupBy("country")
         .agg(F.count("policy_id").alias("nb"), _primes(), _sinistres(), _profit())
     )
@@ -224,7 +237,7 @@ def n12_country(t: Portfolio) -> DataFrame:
 
 def _mean_lr_cells(t: Portfolio) -> DataFrame:
     return (
-        _keys_present(policy_facts(t), "country", "product_type")
+        _keys_present(policy_facts(t, need=("clients",)), "country", "product_type")
         .groupBy("country", "product_type")
         .agg(F.avg("loss_ratio").alias("lr"))
     )
@@ -239,18 +252,18 @@ def n13_country_product_mean_lr(t: Portfolio) -> DataFrame:
 
 
 def n13b_country_product_pivot(t: Portfolio) -> DataFrame:
-    """AG-13: the same means, one column per product (fixed product list)."""
-    facts = _keys_present(policy_facts(t), "country", "product_type")
-    wide = facts.groupBy("country").pivot("product_type", list(PRODUCTS)).agg(F.avg("loss_ratio"))
-    return wide.select("country", *[round_even(F.col(p), 1).alias(p) for p in PRODUCTS]).orderBy(
-        "country"
-    )
+    """AG-13: the same means, one column for each product that has a cell (names in order).
+
+    Spark finds the products in the aggregated cells, so none can be missed.
+    """
+    cells = _mean_lr_cells(t).select("country", "product_type", round_even(F.col("lr"), 1).alias("lr"))
+    return cells.groupBy("country").pivot("product_type").agg(F.first("lr")).orderBy("country")
 
 
 def n14_yearly(t: Portfolio) -> DataFrame:
     """P&L by contract start year with premium growth and the year signal."""
     g = (
-        _keys_present(policy_facts(t), "annee_debut")
+        _keys_present(policy_facts(t, need=()), "annee_debut")
         .groupBy("annee_debut")
         .agg(F.count("policy_id").alias("nb_contrats"), _primes(), _sinistres(), _profit())
     )
@@ -274,7 +287,7 @@ def n14_yearly(t: Portfolio) -> DataFrame:
 def n15_risk_by_product(t: Portfolio) -> DataFrame:
     """Frequency, severity, risk cost and acceptance rate by product."""
     g = (
-        _keys_present(policy_facts(t), "product_type")
+        _keys_present(policy_facts(t, need=()), "product_type")
         .groupBy("product_type")
         .agg(
             F.count("policy_id").alias("n_polices"),
@@ -337,7 +350,7 @@ def n16_claim_amount_describe(t: Portfolio) -> DataFrame:
 def client_clv(t: Portfolio) -> DataFrame:
     """Per-client rollup with DECIMAL money (internal form of n17)."""
     g = (
-        _keys_present(policy_facts(t, last_dimension="clients"), "client_id")
+        _keys_present(policy_facts(t, need=()), "client_id")
         .groupBy("client_id")
         .agg(
             F.count("policy_id").alias("nb_contrats"),
@@ -457,11 +470,18 @@ AGENT_KEYS = ("agent_id", "region", "experience_years")
 
 
 def agent_rollup(t: Portfolio) -> DataFrame:
-    """Per-agent rollup with DECIMAL money (shared by n22-n26 and v05/v06)."""
-    return (
-        _keys_present(policy_facts(t), *AGENT_KEYS)
-        .groupBy(*AGENT_KEYS)
-        .agg(F.count("policy_id").alias("nb_contrats"), _primes(), _sinistres(), _profit())
+    """Per-agent rollup with DECIMAL money (shared by n22-n26 and v05/v06).
+
+    Policies are summed by ``agent_id`` first; the agents then join one row
+    per id, and rows of one id with different attributes stay apart.
+    """
+    sums = (F.count("policy_id").alias("nb_contrats"), _primes(), _sinistres(), _profit())
+    if t.facts is not None:
+        return _keys_present(t.facts, *AGENT_KEYS).groupBy(*AGENT_KEYS).agg(*sums)
+    per_id = _keys_present(policy_facts(t, need=(), later=("agents",)), "agent_id").groupBy("agent_id").agg(*sums)
+    rows = _keys_present(join_dimension(per_id, t, "agents"), *AGENT_KEYS)
+    return rows.groupBy(*AGENT_KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("nb_contrats", "primes", "sinistres", "profit")]
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ QUERIES: dict[str, Callable[[Portfolio], DataFrame]] = {
     **sql_track.QUERIES,
     **master_track.QUERIES,
     **charts.QUERIES,
+    # A fixed date, so that the result can be compared from day to day.
+    "s05_top_clients_clv": partial(sql_track.s05_top_clients_clv, as_of=sql_track.AS_OF),
 }
 
 

@@ -28,7 +28,7 @@ from ..operators.facts import accepted, claim_side, fanout_weights, premium_side
 from ..sources.readers import Portfolio
 from ..sources.schemas import EXPENSE_RATIO_PCT, MIN_POLICIES_PER_AGENT
 
-# Reference date replacing CURRENT_DATE so results are reproducible (T9).
+# Reference date with which the registered query replaces CURRENT_DATE (T9).
 AS_OF = dt.date(2025, 12, 31)
 
 
@@ -36,14 +36,14 @@ def _grouped_fanout(t: Portfolio, keys: list[str], policy_cols: tuple[str, ...]
                     dim: DataFrame | None = None, dim_key: str | None = None) -> DataFrame:
     """Aggregate ``[dim ⋈] policies ⋈ premiums ⟕ accepted claims`` by ``keys``.
 
-    Inner joins commute, so the join order is free (rows and multiplicities
-    are those of the statement) and is chosen for the partitioning it
-    leaves: when the groups are keyed by the dimension key (per agent, per
-    client) the fan-out weights are attached at policy grain first and the
-    dimension is joined last, so both aggregation levels reuse that join's
-    partitioning; otherwise (per country) the dimension is joined first and
-    the first aggregation level reuses the ``policy_id`` partitioning of the
-    fact joins.
+    Groups that are rows of the dimension (per agent, per client) are summed
+    by the dimension's key before it is joined: one row per policy on the
+    ``policy_id`` partitioning of the fact joins, then one per key with
+    map-side combining, so a key with a third of all policies is never
+    gathered.  A dimension row that occurs k times repeats its joined rows,
+    hence sums and row counts count k times and distinct policies once.
+    Other groups (per country) join the dimension first, and the first
+    aggregation level reuses the ``policy_id`` partitioning.
 
     Output: keys, nb (COUNT DISTINCT policy_id), sp (SUM pr.amount), sc
     (SUM c.claim_amount, NULL when none), n_ids (COUNT c.claim_id), n_amt
@@ -51,27 +51,27 @@ def _grouped_fanout(t: Portfolio, keys: list[str], policy_cols: tuple[str, ...]
     """
     dim_cols = [dim_key] if dim is not None else []
     left = t.policies.select("policy_id", *policy_cols, *dim_cols)
+    by_key = dim is not None and dim_key in keys
     if t.weighted_policies is not None:
         # Report mode: the weighted policy rows were materialised once.
         weights = ("w_prem_amount", "w_claim_amount", "w_claim_ids", "w_claim_amounts")
         w = t.weighted_policies.select("policy_id", *policy_cols, *dim_cols, *weights)
-        if dim is not None:
+        if dim is not None and not by_key:
             w = dim.join(w, dim_key)
-    elif dim is not None and dim_key in keys:
-        w = dim.join(weighted_fanout(left, t), dim_key)
-    elif dim is not None:
+    elif dim is not None and not by_key:
         w = weighted_fanout(dim.join(left, dim_key), t)
     else:
         w = weighted_fanout(left, t)
     has_start = "start_date" in policy_cols
-    per_policy = w.groupBy(*keys, "policy_id").agg(
+    group = [dim_key] if by_key else keys
+    per_policy = w.groupBy(*group, "policy_id").agg(
         F.sum("w_prem_amount").alias("sp"),
         F.sum("w_claim_amount").alias("sc"),
         F.sum("w_claim_ids").alias("n_ids"),
         F.sum("w_claim_amounts").alias("n_amt"),
         *([F.min("start_date").alias("first_start")] if has_start else []),
     )
-    return per_policy.groupBy(*keys).agg(
+    sums = per_policy.groupBy(*group).agg(
         F.count("policy_id").alias("nb"),
         F.sum("sp").alias("sp"),
         F.sum("sc").alias("sc"),
@@ -79,6 +79,15 @@ def _grouped_fanout(t: Portfolio, keys: list[str], policy_cols: tuple[str, ...]
         F.sum("n_amt").alias("n_amt"),
         *([F.min("first_start").alias("first_start")] if has_start else []),
     )
+    if not by_key:
+        return sums
+    rows = dim.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return rows.join(sums, dim_key).select(
+        *keys,
+        "nb",
+        *[(F.col(c) * F.col("copies")).alias(c) for c in ("sp", "sc", "n_ids", "n_amt")],
+        *(["first_start"] if has_start else []),
+    )
 
 
 def _sp() -> Column:
@@ -200,8 +209,11 @@ def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
     return out.orderBy(pg_desc(F.col("profit_net")), *[pg_asc(F.col(c)) for c in AGENT_KEYS]).limit(k)
 
 
-def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> DataFrame:
-    """The k clients with the highest technical CLV, with first policy and tenure."""
+def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date | None = None) -> DataFrame:
+    """The k clients with the highest technical CLV, with first policy and tenure.
+
+    Tenure is reckoned at ``as_of``, by default the current date.
+    """
     g = _grouped_fanout(
         t,
         ["client_id", "age", "country"],
@@ -219,7 +231,7 @@ def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date = AS_OF) -> Da
         dbl(_sin0()).alias("total_sinistres_recus"),
         dbl(_sp() - _sin0()).alias("clv_technique"),
         _lr2().alias("loss_ratio_pct"),
-        (F.year(F.lit(as_of)) - F.year("first_start")).alias("anciennete_annees"),
+        (F.year(F.lit(as_of) if as_of else F.current_date()) - F.year("first_start")).alias("anciennete_annees"),
     )
     keys = [pg_asc(F.col(c)) for c in ("client_id", "age", "country")]
     return out.orderBy(pg_desc(F.col("clv_technique")), *keys).limit(k)

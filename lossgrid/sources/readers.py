@@ -33,6 +33,9 @@ class Portfolio:
     claim_side: DataFrame | None = field(default=None, compare=False)
     # Optional precomputed policy rows carrying the SQL-track fan-out weights.
     weighted_policies: DataFrame | None = field(default=None, compare=False)
+    # Keys that a dimension holds more than once, looked up once per portfolio
+    # (see lossgrid.operators.master.key_copies).
+    copies: dict[str, DataFrame | None] = field(default_factory=dict, compare=False)
 
     def with_facts(self, facts: DataFrame) -> "Portfolio":
         return replace(self, facts=facts)
@@ -53,9 +56,9 @@ class Portfolio:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str, name: str, *, lenient: bool = False, wide_ids: bool = False
+    spark: SparkSession, path: str, name: str, *, lenient: bool = False, wide_ids: bool = True
 ) -> DataFrame:
-    """One CSV with header, UTF-8, typed by the fixed schema (ids as ``long`` if ``wide_ids``)."""
+    """One CSV with header, UTF-8, typed by the fixed schema (ids as ``long`` unless ``wide_ids`` is off)."""
     schema = widen_ids(SCHEMAS[name]) if wide_ids else SCHEMAS[name]
     return (
         spark.read.schema(schema)
@@ -68,7 +71,7 @@ def read_csv_table(
 
 
 def read_csv_portfolio(
-    spark: SparkSession, directory: str, *, lenient: bool = False, wide_ids: bool = False
+    spark: SparkSession, directory: str, *, lenient: bool = False, wide_ids: bool = True
 ) -> Portfolio:
     """``<directory>/<table>.csv`` for the five tables."""
     return Portfolio(
@@ -85,7 +88,7 @@ def read_csv_portfolio(
     )
 
 
-def read_parquet_portfolio(spark: SparkSession, directory: str, *, wide_ids: bool = False) -> Portfolio:
+def read_parquet_portfolio(spark: SparkSession, directory: str, *, wide_ids: bool = True) -> Portfolio:
     """``<directory>/<table>`` Parquet datasets, columns selected in schema order."""
     tables = {}
     for name in TABLE_ORDER:

@@ -1,7 +1,7 @@
 """Sinks (SNK-1, SNK-2): the master table and the chart datasets.
 
-Writes are distributed (one file per task, no ``coalesce(1)``) and
-overwrite atomically per output folder.  The master is partitioned by start
+Writes are distributed (one file per task, no ``coalesce(1)``).  Overwriting
+deletes the folder's old files before the new ones are written.  The master is partitioned by start
 year so later reads of one underwriting year prune the others.
 """
 
@@ -27,8 +27,12 @@ def write_master_csv(master: DataFrame, path: str) -> None:
 
 
 def write_master_parquet(master: DataFrame, path: str, partition_by: str = "annee_debut") -> None:
-    """SNK-1 for scale: Parquet partitioned by contract start year."""
-    master.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    """SNK-1 for scale: Parquet partitioned by contract start year.
+
+    Rows are rebalanced by year first (AQE splits large years), so a year gets
+    files of the advisory size and not one from every task.
+    """
+    master.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def write_chart_datasets(t: Portfolio, directory: str, fmt: str = "parquet") -> list[str]:

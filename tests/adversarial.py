@@ -37,6 +37,7 @@ def build(seed: int = 11, n_policies: int = 3000) -> dict[str, pa.Table]:
     regions = list(COUNTRIES) + [None]
 
     agents = [(a, regions[int(rng.integers(0, len(regions)))], int(rng.integers(1, 15))) for a in range(60)]
+    agents += [(None, "Sénégal", 4)]  # met by policies without an agent in the master only
     agents += [agents[5], (6, "Maroc", 3)]  # an exact duplicate and a conflicting one
 
     clients = [
@@ -44,7 +45,7 @@ def build(seed: int = 11, n_policies: int = 3000) -> dict[str, pa.Table]:
          _maybe(rng, _date(rng, dt.date(2015, 1, 1)), 0.02))
         for c in range(1, 401)
     ]
-    clients += [clients[3], (8, 44, "Kenya", dt.date(2018, 5, 1))]
+    clients += [clients[3], (8, 44, "Kenya", dt.date(2018, 5, 1)), (None, 50, "Togo", dt.date(2019, 2, 1))]
 
     policies = []
     for pid in range(1, n_policies + 1):
@@ -55,7 +56,7 @@ def build(seed: int = 11, n_policies: int = 3000) -> dict[str, pa.Table]:
         policies.append((
             pid,
             _maybe(rng, client, 0.02),
-            _maybe(rng, PRODUCTS[int(rng.integers(0, len(PRODUCTS)))], 0.01),
+            "Voyage" if pid % 97 == 0 else _maybe(rng, PRODUCTS[int(rng.integers(0, len(PRODUCTS)))], 0.01),
             start,
             end,
             _maybe(rng, agent, 0.02),

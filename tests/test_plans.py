@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from lossgrid.plans.registry import QUERIES
@@ -40,17 +42,45 @@ def test_sql_track_never_joins_premium_rows_to_claim_rows(t):
     assert plan.count("Aggregate") >= 4
 
 
-@pytest.mark.parametrize("name,key", [("n17_client_clv", "client_id"), ("n22_agent_performance", "agent_id")])
-def test_rollup_reuses_the_last_join_partitioning(spark, t, name, key):
-    import re
-
+def _static_plan(spark, build) -> list[str]:
+    """Lines of the plan without broadcast joins and without adaptive execution."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = _plan(QUERIES[name](t))
+        return _plan(build()).split("\n")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # only the two sides of the dimension join shuffle on the key; the rollup reuses it
-    assert len(re.findall(rf"Exchange hashpartitioning\({key}#", plan)) == 2
+
+
+def _dealt(lines: list[str], key: str) -> list[str]:
+    """The operator below every exchange on ``key``."""
+    return [lines[i + 1] for i, x in enumerate(lines[:-1]) if re.search(rf"Exchange hashpartitioning\(.*{key}#", x)]
+
+
+BY_CLIENT = ("n17_client_clv", "n18_clv_segments", "n20_top10_clients", "n21_bottom10_clients", "s05_top_clients_clv")
+BY_AGENT = ("n22_agent_performance", "n23_top10_agents", "n24_bottom10_agents", "n25_agents_claims_without_premium",
+            "n25b_agent_lookup", "n26_experience_profit_corr", "v05_agent_scatter", "v06_top_bottom_agents",
+            "s04_top_agents", "s08_underperforming_agents")
+
+
+@pytest.mark.parametrize("name,key", [(n, "client_id") for n in BY_CLIENT] + [(n, "agent_id") for n in BY_AGENT])
+def test_rollups_combine_a_hot_key_before_it_is_dealt_out(spark, t, name, key):
+    below = _dealt(_static_plan(spark, lambda: QUERIES[name](t)), key)
+    # an exchange on the key carries partial sums, or the rows of the dimension
+    for line in below:
+        assert "HashAggregate" in line or not re.search("Join|policy_id", line), line
+
+
+@pytest.mark.parametrize("name", ["n10_global_kpis", "n11_product", "n14_yearly", "n15_risk_by_product", "v01_gauge",
+                                  "v02_profit_by_product", "v04_trend", "v07_lr_histogram", "v07b_lr_summary"])
+def test_unread_dimensions_are_not_joined(spark, t, name):
+    lines = _static_plan(spark, lambda: QUERIES[name](t))
+    below = _dealt(lines, "agent_id") + ([] if name.startswith("n10") else _dealt(lines, "client_id"))
+    assert below == []
+
+
+@pytest.mark.parametrize("name", ["n12_country", "n13_country_product_mean_lr", "n13b_country_product_pivot", "v03_country_bands", "v08_portfolio_treemap"])
+def test_country_results_do_not_join_agents(spark, t, name):
+    assert _dealt(_static_plan(spark, lambda: QUERIES[name](t)), "agent_id") == []

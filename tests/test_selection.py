@@ -29,7 +29,6 @@ def test_order_statistics_match_sorting(spark, cents):
 
 def test_order_statistics_survive_a_hot_value(spark, monkeypatch):
     # one value holds a third of all rows; force histogram rounds (no small-interval fetch)
-    monkeypatch.setattr(sel, "SMALL_INTERVAL_ROWS", 0)
     rng = np.random.default_rng(7)
     vals = list(rng.integers(-50_000, 50_000, size=2000)) + [1234] * 1000
     values = [Decimal(int(v)).scaleb(-2) for v in vals]
@@ -68,7 +67,6 @@ def test_linear_quantiles_match_numpy(spark):
 
 def test_values_beyond_double_precision(spark, monkeypatch):
     # neighbours 0.01 apart around 10^20 collapse to one double; the search must stay exact
-    monkeypatch.setattr(sel, "SMALL_INTERVAL_ROWS", 0)
     base = Decimal("100000000000000000000.00")
     values = [base + Decimal(k).scaleb(-2) for k in (5, 1, 9, 3, 3, 7, 0, 2)]
     df = spark.createDataFrame([(v,) for v in values], "v decimal(38,2)").repartition(3)
