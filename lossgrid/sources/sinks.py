@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.charts import QUERIES as CHART_QUERIES
 from .readers import Portfolio
@@ -32,7 +33,7 @@ def write_master_parquet(master: DataFrame, path: str, partition_by: str = "anne
     Rows are rebalanced by year first (AQE splits large years), so a year gets
     files of the advisory size and not one from every task.
     """
-    master.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    master.hint("rebalance", F.col(partition_by)).write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def write_chart_datasets(t: Portfolio, directory: str, fmt: str = "parquet") -> list[str]:

@@ -83,7 +83,7 @@ def test_wide_ids_run_the_same_queries(spark):
     for name, df in t.tables().items():
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
     wide = read_csv_portfolio(spark, folder, wide_ids=True)
-    narrow = read_csv_portfolio(spark, folder)
+    narrow = read_csv_portfolio(spark, folder, wide_ids=False)
     assert wide.policies.schema["policy_id"].dataType.simpleString() == "bigint"
     assert narrow.policies.schema["policy_id"].dataType.simpleString() == "int"
     assert sorted(map(tuple, n.n11_product(narrow).collect())) == sorted(map(tuple, n.n11_product(wide).collect()))
