@@ -4,7 +4,8 @@
 table from a single group-by over all columns: grouping keeps NULLs as a
 key (NULL = NULL, as pandas ``duplicated`` does), so the NULL count of a
 column is the sum of the group sizes whose key is NULL there.  One shuffle
-per table, with map-side combining of repeated rows.
+per table, with map-side combining of repeated rows.  :func:`null_columns`
+needs no duplicates and shuffles no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,33 @@ from pyspark.sql import functions as F
 from ..sources.readers import Portfolio
 
 
+def _by_column(df: DataFrame):
+    """One struct ``c`` for each column of ``df`` from the sums ``__null_0``, ``__null_1``, ..."""
+    return F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("column_position"),
+                    F.lit(c).alias("column_name"),
+                    F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
+                    F.coalesce(F.col(f"__null_{i}"), F.lit(0)).cast("long").alias("n_nulls"),
+                )
+                for i, c in enumerate(df.columns)
+            ]
+        )
+    ).alias("c")
+
+
+def null_columns(df: DataFrame, name: str) -> DataFrame:
+    """DQ-4: ``table_name, column_name, n_nulls`` of the columns that hold NULLs.
+
+    One pass with partial sums in every task; no row is shuffled.
+    """
+    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"__null_{i}") for i, c in enumerate(df.columns)])
+    long = wide.select(_by_column(df)).where("c.n_nulls > 0")
+    return long.select(F.lit(name).alias("table_name"), "c.column_name", "c.n_nulls")
+
+
 def audit(df: DataFrame, name: str) -> DataFrame:
     """DQ-1/3/4/5/7: ``table_name, n_columns, column_position, column_name, data_type,
     n_rows, n_dup_rows, n_nulls`` (one row per column)."""
@@ -31,19 +59,7 @@ def audit(df: DataFrame, name: str) -> DataFrame:
     long = wide.select(
         F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
         F.coalesce(F.col("n_dup_rows"), F.lit(0)).cast("long").alias("n_dup_rows"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("column_position"),
-                        F.lit(c).alias("column_name"),
-                        F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
-                        F.coalesce(F.col(f"__null_{i}"), F.lit(0)).cast("long").alias("n_nulls"),
-                    )
-                    for i, c in enumerate(cols)
-                ]
-            )
-        ).alias("c"),
+        _by_column(df),
     )
     return long.select(
         F.lit(name).alias("table_name"),
@@ -66,6 +82,15 @@ def audit_all(t: Portfolio) -> DataFrame:
     return out
 
 
+def null_columns_all(t: Portfolio) -> DataFrame:
+    """DQ-4 applied to the five tables."""
+    out = None
+    for name, df in t.tables().items():
+        n = null_columns(df, name)
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def row_counts(t: Portfolio) -> DataFrame:
     """DQ-2: ``table_name, n_rows`` for the five tables."""
     out = None

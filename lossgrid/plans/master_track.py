@@ -66,8 +66,7 @@ def n01_audit(t: Portfolio) -> DataFrame:
 
 def n01b_null_columns(t: Portfolio) -> DataFrame:
     """DQ-4: only the columns that hold NULLs, with their count."""
-    a = quality.audit_all(t)
-    return a.filter(F.col("n_nulls") > 0).select("table_name", "column_name", "n_nulls")
+    return quality.null_columns_all(t)
 
 
 def n01c_table_preview(t: Portfolio) -> DataFrame:
@@ -317,7 +316,7 @@ def n16_claim_amount_describe(t: Portfolio) -> DataFrame:
     """AG-14 on accepted claim amounts: exact quantiles by distributed selection."""
     values = materialize(accepted(t.claims).select(F.col("claim_amount").alias("v")).filter(
         F.col("v").isNotNull()
-    ))
+    ), "claim-amounts")
     stats = values.agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     ).first()
@@ -349,6 +348,8 @@ def n16_claim_amount_describe(t: Portfolio) -> DataFrame:
 
 def client_clv(t: Portfolio) -> DataFrame:
     """Per-client rollup with DECIMAL money (internal form of n17)."""
+    if t.client_rollup is not None:
+        return t.client_rollup
     g = (
         _keys_present(policy_facts(t, need=()), "client_id")
         .groupBy("client_id")
@@ -405,7 +406,7 @@ def n18_clv_segments(t: Portfolio) -> DataFrame:
 
 def n19_clv_concentration(t: Portfolio) -> DataFrame:
     """AG-20: top 20 % / 10 % and bottom 10 % CLV sums, exact at any size."""
-    values = materialize(client_clv(t).select(F.col("clv").alias("v")))
+    values = materialize(client_clv(t).select(F.col("clv").alias("v")), "client-values")
     stats = values.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("v").alias("nv"),
@@ -475,6 +476,8 @@ def agent_rollup(t: Portfolio) -> DataFrame:
     Policies are summed by ``agent_id`` first; the agents then join one row
     per id, and rows of one id with different attributes stay apart.
     """
+    if t.agent_rollup is not None:
+        return t.agent_rollup
     sums = (F.count("policy_id").alias("nb_contrats"), _primes(), _sinistres(), _profit())
     if t.facts is not None:
         return _keys_present(t.facts, *AGENT_KEYS).groupBy(*AGENT_KEYS).agg(*sums)

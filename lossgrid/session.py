@@ -1,17 +1,16 @@
 """Session helpers: a local session for tests and benches, and lineage cuts.
 
-Library code never chooses a checkpoint location: it reads
-``spark.checkpoint.dir`` from the session (the shared folder a cluster
-names).  Only :func:`local_session` — used by tests and ``bench.py`` — sets
-one, and only when none is configured.
+Tables that are scanned several times go to the folder named by the
+session's ``spark.checkpoint.dir`` (the shared folder of a cluster).  A
+scratch folder is made only where that is unset, as in tests and ``bench.py``.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session running these plans should have; AQE re-plans joins
@@ -32,7 +31,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
     )
     for key, value in RECOMMENDED_CONF.items():
@@ -43,38 +41,34 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if configured and not sc.getCheckpointDir():
-        sc.setCheckpointDir(configured)
-    return configured
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; create a scratch one only if unset."""
-    configured = checkpoint_dir(spark)
-    if configured:
-        return configured
-    scratch = tempfile.mkdtemp(prefix="lossgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    """This application's folder below the configured checkpoint folder; a scratch one only if unset."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lossgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before a frame is scanned several times.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the checkpoint folder and read it back.
 
-    With a checkpoint folder the frame is written there (reliable
-    checkpoint, survives executor loss); without one it is persisted to
-    memory and disk, where a lost block is recomputed from lineage.
+    Cuts lineage before a frame is scanned several times, at a table that
+    outlives any executor; later scans read only their columns.  The table
+    stays until :func:`release`.
     """
     spark = df.sparkSession
-    persisted = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if checkpoint_dir(spark):
-        # Writing a reliable checkpoint re-runs the plan unless it is cached:
-        # persist for the duration of the write, then release the cache.
-        out = persisted.checkpoint(eager=True)
-        persisted.unpersist()
-        return out
-    persisted.count()
-    return persisted
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lossgrid-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, name: str = "*") -> int:
+    """Delete this application's materialised tables of that name (all by default); how many went."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/lossgrid-{name}-*")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(path) or [])
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)

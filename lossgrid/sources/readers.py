@@ -33,6 +33,9 @@ class Portfolio:
     claim_side: DataFrame | None = field(default=None, compare=False)
     # Optional precomputed policy rows carrying the SQL-track fan-out weights.
     weighted_policies: DataFrame | None = field(default=None, compare=False)
+    # Optional precomputed rollups by client and by agent (master track).
+    client_rollup: DataFrame | None = field(default=None, compare=False)
+    agent_rollup: DataFrame | None = field(default=None, compare=False)
     # Keys that a dimension holds more than once, looked up once per portfolio
     # (see lossgrid.operators.master.key_copies).
     copies: dict[str, DataFrame | None] = field(default_factory=dict, compare=False)
@@ -46,6 +49,9 @@ class Portfolio:
     def with_weighted_policies(self, weighted: DataFrame) -> "Portfolio":
         return replace(self, weighted_policies=weighted)
 
+    def with_rollups(self, client_rollup: DataFrame, agent_rollup: DataFrame) -> "Portfolio":
+        return replace(self, client_rollup=client_rollup, agent_rollup=agent_rollup)
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_ORDER}
 

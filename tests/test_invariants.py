@@ -70,8 +70,9 @@ def test_results_do_not_depend_on_partitioning(spark, t, name):
 def test_report_over_shared_master_equals_independent_queries(spark, t):
     from lossgrid.plans.registry import QUERIES
     from lossgrid.plans.report import build_report
+    from lossgrid.plans.sql_track import AS_OF
 
-    report = build_report(t)
+    report = build_report(t, as_of=AS_OF)
     assert set(report) == set(QUERIES)
     names = ["n11_product", "n22_agent_performance", "v08_portfolio_treemap", "n19_clv_concentration"]
     names += [n for n in QUERIES if n.startswith("s")]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from lossgrid.plans.registry import QUERIES as PORTFOLIO_QUERIES
 from tests.conftest import SF_SMALL
 from tests.parity import compare, duck_connection
 
-QUERIES = entry.queries()
+# The optional training-data queries have their own tests.
+QUERIES = {name: entry.queries()[name] for name in PORTFOLIO_QUERIES}
 ORACLE = entry.oracle_sql()
 
 
@@ -18,7 +20,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(ORACLE) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from lossgrid.plans.registry import QUERIES
+from lossgrid.session import materialize, release
 from lossgrid.sources.testmap import mapped_portfolio
 from tests.conftest import SF_SMALL
 
@@ -36,6 +37,19 @@ def test_scans_are_pruned_and_filtered(t):
     assert "l_returnflag" not in plan.split("ReadSchema:")[1].split("\n")[0]
 
 
+def test_null_counts_shuffle_no_rows(spark, portfolio):
+    lines = _static_plan(spark, lambda: QUERIES["n01b_null_columns"](portfolio()))
+    exchanges = [x for x in lines if "Exchange" in x]
+    assert exchanges and all("SinglePartition" in x for x in exchanges)
+
+
+def test_materialised_tables_are_pruned_and_released(spark, t):
+    kept = materialize(t.policies, "plan-test")
+    assert kept.schema.fieldNames() == t.policies.schema.fieldNames()
+    assert "ReadSchema: struct<policy_id:bigint>" in _plan(kept.select("policy_id"))
+    assert release(spark, "plan-test") == 1 and release(spark, "plan-test") == 0
+
+
 def test_sql_track_never_joins_premium_rows_to_claim_rows(t):
     # the fan-out is computed from per-policy aggregates: every join input is aggregated
     plan = QUERIES["s02_product_profitability"](t)._jdf.queryExecution().optimizedPlan().toString()
