@@ -14,14 +14,16 @@ Steps, none of which emits the pairs of a group:
 2. Representatives that share a band bucket are connected through the
    bucket's smallest member; connected components of these star links hold
    every candidate pair.
-3. Inside a component, members are dealt into blocks and each pair of blocks
-   is one piece of work.  It compares signatures and keeps a spanning forest
-   of the pairs whose estimate is within reach of the threshold; its
-   components are the families.
-4. Inside a family, again by pairs of blocks, full sets are intersected and a
-   spanning forest of the confirmed links remains.  Pairs whose ends are
-   already connected in the block need no look.  Its components are the
-   result.
+3. Star links whose signatures put the threshold within reach label what they
+   connect.  Inside a component, members with different labels still have to
+   meet: they are dealt into blocks, and each pair of blocks is one piece of
+   work that keeps a spanning forest of the pairs within reach.  The largest
+   label is the core, whose blocks meet only those of the rest, so a group of
+   near copies costs its members once and not the square of its size.  The
+   components of these links are the families.
+4. Inside a family full sets are compared, first with the family's smallest
+   member, then again by pairs of blocks between what that left apart.  The
+   components of the confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, redealt
@@ -149,21 +151,68 @@ def _sets(permutations: int, shingle: int):
     return run
 
 
+def _blocks(rows: Column, shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each ``family`` into blocks; a row for each pair of blocks a member is in.
 
-    Blocks come from the id's hash, so no window over a family is needed.
-    Every two members of a family meet in exactly one pair of blocks.
+    Members with one ``label`` are linked already and need not meet.  The
+    label with most members is the family's core: a block of the core meets
+    the blocks of the rest only, and a family that is all core needs no work.
+    Of all other members every two meet in exactly one pair of blocks.  Blocks
+    come from the id's hash, so no window over a family is needed.
     """
-    sizes = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
-    sizes = sizes.select(redealt(F.col("family")).alias("own"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    parts = members.groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    sizes = parts.groupBy("family").agg(F.max(F.struct("m", "label", "s")).alias("core"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > core.m")
+    sizes = sizes.select(redealt(F.col("family")).alias("own"), F.col("core.label").alias("core"), _blocks(F.col("core.m"), F.col("core.s")).alias("cores"), _blocks(F.col("m") - F.col("core.m"), F.col("s") - F.col("core.s")).alias("rests"))
     dealt = members.join(sizes, F.col("family") == F.col("own")).drop("own")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("blocks", "other")
+    inner, last = F.col("label") == F.col("core"), F.col("cores") + F.col("rests") - 1
+    place = F.when(inner, F.pmod(F.xxhash64("node"), F.col("cores").cast("long"))).otherwise(F.col("cores") + F.pmod(F.xxhash64("node"), F.col("rests").cast("long")))
+    dealt = dealt.withColumn("block", place.cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(inner, F.col("cores")).otherwise(F.lit(0)), last)))
+    dealt = dealt.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("core", "cores", "rests", "other")
     return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
 
 
+def agreement(mine: np.ndarray, its: np.ndarray) -> np.ndarray:
+    """Estimated similarity from signatures (rows of bytes); two bytes agree by chance once in 256."""
+    return ((mine == its).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _likely(permutations: int, least: float):
+    """The star links whose signatures let the threshold seem within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            mine, its = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * permutations) for c in ("signature", "pivot"))
+            near = pa.array(agreement(mine, its) >= least)
+            yield batch.select(["a", "b"]).filter(near)
+
+    return run
+
+
+def similar(mine: bytes, its: bytes, percent: int) -> bool:
+    """Whether two full sets are similar enough, in whole numbers."""
+    x, y = np.frombuffer(mine, np.uint64), np.frombuffer(its, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _labelled(percent: int):
+    """Label each member of a family: the pivot if confirmed to be linked to it, else itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            columns = (batch.column(c).to_pylist() for c in ("node", "family", "shingles", "pivot"))
+            labels = [family if node == family or similar(own, pivot, percent) else node for node, family, own, pivot in zip(*columns, strict=True)]
+            kept = batch.drop_columns(["pivot"])
+            yield kept.append_column("label", pa.array(labels, pa.int64()))
+
+    return run
+
+
 def _forest(percent: int, margin: float, confirm: bool):
     """Each pair of blocks to a spanning forest of its links.
 
@@ -173,14 +222,9 @@ def _forest(percent: int, margin: float, confirm: bool):
     """
     reach = percent / 100
 
-    def similar(x: dict, y: dict) -> bool:
-        mine, its = np.frombuffer(x["shingles"], np.uint64), np.frombuffer(y["shingles"], np.uint64)
-        both = len(np.intersect1d(mine, its, assume_unique=True))
-        return 100 * both >= percent * (len(mine) + len(its) - both)
-
     def solve(rows: list[dict]) -> list[tuple[int, int]]:
         rows.sort(key=lambda r: r["n_shingles"])
-        edges, label = [], np.arange(len(rows))
+        edges, label = [], np.unique([r["label"] for r in rows], return_inverse=True)[1]
         crossing = rows[0]["i"] != rows[0]["j"]
         blocks = np.array([r["block"] for r in rows])
         sizes = np.array([r["n_shingles"] for r in rows])
@@ -193,10 +237,9 @@ def _forest(percent: int, margin: float, confirm: bool):
             others = np.flatnonzero(wanted) + firsts[x]
             if not len(others):
                 continue
-            same = (signatures[others] == signatures[x]).mean(axis=1)
-            estimates = (same - 1 / 256) / (1 - 1 / 256)  # two bytes agree by chance once in 256
+            estimates = agreement(signatures[others], signatures[x])
             for y in others[np.argsort(-estimates, kind="stable")][: int((estimates >= reach - margin).sum())]:
-                if label[y] != label[x] and (not confirm or similar(rows[x], rows[y])):
+                if label[y] != label[x] and (not confirm or similar(rows[x]["shingles"], rows[y]["shingles"], percent)):
                     label[label == label[y]] = label[x]
                     edges.append((rows[x]["node"], rows[y]["node"]))
         return edges
@@ -249,17 +292,29 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     # 2. buckets
     buckets = classes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(redealt(F.col("key")).alias("own"), "least")
-    near = components(buckets.join(shared, F.col("key") == F.col("own")).select(F.col("node").alias("a"), F.col("least").alias("b")), "buckets")
-
-    # 3. families by estimate
+    stars = buckets.join(shared, F.col("key") == F.col("own")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    stars = stage(stars, "stars")
+    near = components(stars, "buckets")
+
+    # 3. families by estimate; star links within reach come first, so what they connect need not meet
+    marks = classes.select("node", "signature")
+    pivots = marks.select(redealt(F.col("node")).alias("p"), F.col("signature").alias("pivot"))
+    pairs = stars.join(marks, F.col("a") == F.col("node")).join(pivots, F.col("b") == F.col("p")).select("a", "b", "signature", "pivot")
+    first = stage(pairs.mapInArrow(_likely(permutations, percent / 100 - margin), "a long, b long"), "first-links")
+    labels = components(first, "labels").select(F.col("node").alias("n"), F.col("component").alias("label"))
     members = classes.select("node", "n_shingles", "signature").join(near.select("node", F.col("component").alias("family")), "node")
-    likely = _in_blocks(members).mapInArrow(_forest(percent, margin, confirm=False), "a long, b long")
-    families = stage(components(likely, "families").select("node", F.col("component").alias("family")), "families")
+    members = members.join(labels, F.col("node") == F.col("n"), "left").select("node", "family", "n_shingles", "signature", F.coalesce("label", "node").alias("label"))
+    likely = _in_blocks(stage(members, "members")).mapInArrow(_forest(percent, margin, confirm=False), "a long, b long")
+    families = stage(components(likely.union(first), "families").select("node", F.col("component").alias("family")), "families")
 
-    # 4. links confirmed on full sets
+    # 4. links confirmed on full sets, to each family's pivot (its smallest member) first
     whole = docs.join(families, F.col("doc_id") == F.col("node")).select("node", "family", "text")
     whole = stage(whole.mapInArrow(_sets(permutations, shingle), "node long, family long, n_shingles long, shingles binary, signature binary"), "sets")
-    confirmed = _in_blocks(whole).mapInArrow(_forest(percent, margin, confirm=True), "a long, b long")
+    pivots = whole.where("node = family").groupBy("family").agg(F.min("shingles").alias("pivot")).select(redealt(F.col("family")).alias("p"), "pivot")
+    known = whole.join(pivots, F.col("family") == F.col("p")).drop("p")
+    known = stage(known.mapInArrow(_labelled(percent), "node long, family long, n_shingles long, shingles binary, signature binary, label long"), "labelled")
+    to_pivot = known.where("label = family and node <> family").select(F.col("node").alias("a"), F.col("family").alias("b"))
+    confirmed = _in_blocks(known).mapInArrow(_forest(percent, margin, confirm=True), "a long, b long").union(to_pivot)
     # Rows of one id with different sets tie their classes together.
     twice = shown.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("doc_id").alias("a"))
     several = shown.join(twice, F.col("doc_id") == F.col("a")).select("a", "digest")
