@@ -1,14 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 9).
 
-Five transducers read a clause word by word: *insult* (a lexeme learned from
-labelled rows, or a seed word), *threat*, *target*, *negation* and *reported
-speech*.  They are composed into one table (:data:`GRAMMAR`): a state and a
-word class give the next state and the factor with which the word's weight is
+Five transducers read a clause word by word, each passing what it writes to the
+next: *target* (who is spoken to), *threat* (counts only once a target is in
+the clause, before or after it), *negation* and *reported speech* (each bears
+on the six words that follow) and *insult* (a lexeme learned from labelled
+rows).  :func:`compose` turns the cascade into one machine: a state and a word
+class give the next state and the factor with which the word's weight is
 written out.  A clause scores what the composed machine writes over its words,
-so an insult after a negation or inside reported speech counts less, one next
-to a target counts more, and a threat counts only once a target is in the
-clause.  A document's clause scores become five numbers, which a logistic
-model fitted on the labelled rows turns into a probability.
+so an insult after a negation or inside reported speech counts less and one
+after a target counts more.  A document's clause scores become five numbers,
+which a logistic model fitted on the labelled rows turns into a probability.
 
 Learning (:func:`learn`) uses at most ``max_rows`` labelled rows, taken by
 their id's hash: the lexicon is every word, or word beginning of 4 to 8
@@ -46,19 +47,83 @@ LETTERS = re.compile(r"[^\W\d_]+")
 CLAUSES = re.compile(r"[.!?;:\n]+")
 PREFIXES = range(4, 9)
 
-# Word classes and states of the composed machine.
+# Word classes, which are also the symbols between the transducers.
 OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
-PLAIN, AIMED, NEGATED, REPORTED, THREATENED = range(5)
-#: GRAMMAR[state][class] = (next state, factor on the word's weight).
-GRAMMAR = {
-    PLAIN: {OTHER: (PLAIN, 0.0), TARGET: (AIMED, 0.0), NEGATION: (NEGATED, 0.0), REPORT: (REPORTED, 0.0), THREAT: (THREATENED, 0.0), INSULT: (PLAIN, 1.0)},
-    AIMED: {OTHER: (AIMED, 0.0), TARGET: (AIMED, 0.0), NEGATION: (NEGATED, 0.0), REPORT: (REPORTED, 0.0), THREAT: (AIMED, 1.0), INSULT: (AIMED, 1.25)},
-    NEGATED: {OTHER: (NEGATED, 0.0), TARGET: (NEGATED, 0.0), NEGATION: (PLAIN, 0.0), REPORT: (REPORTED, 0.0), THREAT: (NEGATED, 0.1), INSULT: (PLAIN, 0.5)},
-    REPORTED: {OTHER: (REPORTED, 0.0), TARGET: (REPORTED, 0.0), NEGATION: (NEGATED, 0.0), REPORT: (REPORTED, 0.0), THREAT: (REPORTED, 0.2), INSULT: (REPORTED, 0.6)},
-    THREATENED: {OTHER: (THREATENED, 0.0), TARGET: (AIMED, 1.0), NEGATION: (NEGATED, 0.0), REPORT: (REPORTED, 0.0), THREAT: (THREATENED, 0.0), INSULT: (THREATENED, 1.0)},
-}
-#: Words after which a negation or a report no longer bears on what follows.
+#: What counts: a threat with its target between transducers, and all that the last one writes.
+HARM = 6
+#: Words that a negation or a report bears on.
 REACH = 6
+
+#: A transducer: transducer[state][symbol] = (next state, symbol written, factor);
+#: a symbol that is not named passes through in the same state.
+Transducer = list[dict[int, tuple[int, int, float]]]
+
+
+def target_transducer(aimed: float = 1.25) -> Transducer:
+    """After a target, a threat is complete and an insult counts more."""
+    return [
+        {TARGET: (1, TARGET, 1.0)},
+        {THREAT: (1, HARM, 1.0), INSULT: (1, INSULT, aimed)},
+    ]
+
+
+def threat_transducer() -> Transducer:
+    """A threat without a target before it waits for one."""
+    return [
+        {THREAT: (1, OTHER, 1.0)},
+        {THREAT: (1, OTHER, 1.0), TARGET: (0, HARM, 1.0)},
+    ]
+
+
+def scope_transducer(opens: int, harm: float, insult: float, ends: bool) -> Transducer:
+    """From a word of class ``opens`` on, what counts is scaled for REACH words.
+
+    With ``ends``, an insult or a second such word ends the scope.
+    """
+    machine: Transducer = [{opens: (1, OTHER, 1.0)}]
+    for read in range(1, REACH + 1):
+        onward = read + 1 if read < REACH else 0
+        passed = {symbol: (onward, symbol, 1.0) for symbol in (OTHER, TARGET, NEGATION, REPORT, THREAT)}
+        machine.append(passed | {opens: (0 if ends else 1, OTHER, 1.0), HARM: (onward, HARM, harm), INSULT: (0 if ends else onward, INSULT, insult)})
+    return machine
+
+
+def insult_transducer() -> Transducer:
+    return [{INSULT: (0, HARM, 1.0)}]
+
+
+def compose(*cascade: Transducer) -> list[list[tuple[int, float]]]:
+    """One machine for the cascade: machine[state][word class] = (next state, factor written).
+
+    A state stands for a state of each transducer; those that can be reached
+    are numbered from the start's 0.  Factors multiply along the cascade, and
+    only what leaves it as HARM is written.
+    """
+    order = [(0,) * len(cascade)]
+    numbers, machine = {order[0]: 0}, []
+    for states in order:  # grows as states are reached
+        row = []
+        for symbol in (OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT):
+            reached, factor = [], 1.0
+            for transducer, state in zip(cascade, states, strict=True):
+                state, symbol, scale = transducer[state].get(symbol, (state, symbol, 1.0))
+                reached.append(state)
+                factor *= scale
+            if tuple(reached) not in numbers:
+                numbers[tuple(reached)] = len(order)
+                order.append(tuple(reached))
+            row.append((numbers[tuple(reached)], factor if symbol == HARM else 0.0))
+        machine.append(row)
+    return machine
+
+
+GRAMMAR = compose(
+    target_transducer(),
+    threat_transducer(),
+    scope_transducer(NEGATION, harm=0.1, insult=0.5, ends=True),
+    scope_transducer(REPORT, harm=0.2, insult=0.6, ends=False),
+    insult_transducer(),
+)
 SEED_WEIGHT = 2.0
 FEATURES = ("total", "largest", "clauses", "lexemes", "density")
 
@@ -97,23 +162,15 @@ def word_class(word: str, lexicon: dict[str, float]) -> tuple[int, float, str]:
 
 def clause_score(words: list[str], classes: dict[str, tuple[int, float, str]]) -> tuple[float, set[str]]:
     """Run the composed machine over one clause: what it writes, and the lexemes matched."""
-    state, score, since, matched, pending = PLAIN, 0.0, 0, set(), 0.0
+    state, score, matched = 0, 0.0, set()
     for word in words:
         kind, weight, lexeme = classes[word]
-        since += 1
-        if state in (NEGATED, REPORTED) and since > REACH:
-            state = PLAIN
-        if kind in (NEGATION, REPORT):
-            since = 0
-        if kind == THREAT:
-            pending = weight
-        following, factor = GRAMMAR[state][kind]
-        if state == THREATENED and kind == TARGET:
-            weight, pending = pending, 0.0
-        score += factor * weight
-        if factor and kind in (INSULT, THREAT):
-            matched.add(lexeme)
-        state = following
+        state, factor = GRAMMAR[state][kind]
+        if factor:
+            # A target that completes a threat writes the threat's weight.
+            score += factor * (weight if kind == INSULT else SEED_WEIGHT)
+            if kind != TARGET:
+                matched.add(lexeme)
     return score, matched
 
 

@@ -241,6 +241,27 @@ def test_grammar_weighs_clauses():
 
     assert total("you idiot") > total("idiot") > total("he said idiot") > total("not idiot") > total("") == 0
     assert total("they will kill you") > 0 == total("we kill weeds")
+    assert total("kill you") == total("you kill") > total("never kill you") > 0
+    assert total("not idiot") < total("not one two three four five six idiot") == total("idiot")  # beyond reach
+    assert total("not not idiot") == total("idiot") and total("said not idiot") < total("not idiot")
+
+
+def test_composed_machine_equals_the_cascade():
+    """Random symbols through the transducers one after another, and through the one machine."""
+    cascade = (toxicity.target_transducer(), toxicity.threat_transducer(), toxicity.scope_transducer(toxicity.NEGATION, 0.1, 0.5, True), toxicity.scope_transducer(toxicity.REPORT, 0.2, 0.6, False), toxicity.insult_transducer())
+    symbols = np.random.default_rng(5).integers(0, 6, 5000).tolist()
+    passed = [(s, 1.0) for s in symbols]
+    for transducer in cascade:
+        state, out = 0, []
+        for symbol, factor in passed:
+            state, symbol, scale = transducer[state].get(symbol, (state, symbol, 1.0))
+            out.append((symbol, factor * scale))
+        passed = out
+    state, written = 0, []
+    for symbol in symbols:
+        state, factor = toxicity.GRAMMAR[state][symbol]
+        written.append(factor)
+    assert written == [f if s == toxicity.HARM else 0.0 for s, f in passed]
 
 
 def test_substring(spark, documents, nothing):
