@@ -117,4 +117,33 @@ ORACLE_SQL: dict[str, str] = {
         FROM d
         WINDOW stay AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST)
     """,
+    "op8_minhash": """
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ), placed AS (
+            SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM worded
+        ), runs AS (
+            SELECT doc_id, n_words, place, concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS shingle
+            FROM placed
+            WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+        ), shingles AS (
+            SELECT DISTINCT doc_id, shingle FROM runs WHERE place = 1 OR place <= n_words - 4
+        ), sized AS (
+            SELECT d.doc_id, count(s.shingle) AS n FROM documents d LEFT JOIN shingles s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+        ), measured AS (
+            SELECT s.doc_id, s.shingle, z.n FROM shingles s JOIN sized z ON s.doc_id = z.doc_id
+        ), edges AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM measured a JOIN measured b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM sized
+            UNION
+            SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+        )
+        SELECT s.doc_id, s.n AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
+        FROM sized s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON s.doc_id = r.a
+    """,
 }
