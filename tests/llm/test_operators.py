@@ -287,6 +287,21 @@ def test_licenses(spark, documents, nothing):
     assert licenses.scan(nothing.select(F.col("doc_id").alias("file_id"), F.col("text").alias("path"), "text")).count() == 0
 
 
+def test_full_licences_and_wrapped_headers(spark):
+    full = {k: v for k, v in licenses.known_templates() if len(v.split()) > 100}
+    filled = lambda k: re.sub("<[^<>\n]*>", "2020 Some Owner", full[k])
+    untitled = filled("MIT").split("\n", 1)[1]
+    wrapped = "#!/bin/sh\n# This work is licensed under the GNU\n# General Public License,\n# version {}\nset -e\necho a b c d e f g h i j k l m n o p q r s t u v w x y z\n" + "run one more step of this script\n" * 30
+    header = "/*\n * Some tool.\n *\n" + "".join(f" * {x}\n" for x in re.findall(r".{1,60}(?:\s|$)", dict(licenses.HEADERS)["LGPL-2.1"])) + " */\nint main() { return 0; }\n" * 30
+    embedded = "".join(f"// {x}\n" for x in filled("BSD-2-Clause").split("\n")) + "call(some, other, thing);\n" * 200
+    texts = [(f"{k}/LICENSE", filled(k), k, True) for k in sorted(full)] + [("m/LICENSE", untitled, "MIT", True)]
+    texts += [(f"w{v}/a.sh", wrapped.format(v), f"GPL-{v}.0", False) for v in (2, 3)] + [("h/a.c", header, "LGPL-2.1", False), ("b/a.c", embedded, "BSD-2-Clause", False)]
+    texts += [("GPL-3.0/src/a.c", "int x;", "GPL-3.0", False), ("b/c/d.c", "int x;", None, False)]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t, *_) in enumerate(texts)], "file_id long, path string, text string")
+    found = {r.path: (r.licence, r.licence_file) for r in licenses.scan(files).collect()}
+    assert found == {p: (k, f) for p, _, k, f in texts}
+
+
 def test_html(spark):
     article = "<html><head><title>t</title><style>p{}</style></head><body><nav><a>Menu</a></nav><article><h1>A &amp; B</h1><p><b>One<br><p>Two  three<script>x='</p>'</script></article><div class='comments'><p>bad</p></div><footer>foot</footer>"
     open_page = "<div>Site menu with some words</div><p>Own text number {} stands here alone</p><div>Imprint of this very site</div>"
