@@ -279,7 +279,8 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     gives an empty table.
 
     With 64 permutations and bands of six values, a pair at the threshold of
-    0.85 is missed with a probability under 0.0001 and a more similar one less.
+    0.85 is missed with a probability under 0.0001 and a more similar one less
+    (at 0.80, bands of six miss 0.0017 and bands of five 0.00005).
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(docs.mapInArrow(_signatures(permutations, band_rows, shingle), "doc_id long, n_shingles long, digest string, bands array<long>, signature binary"), "signatures")

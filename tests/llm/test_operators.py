@@ -321,6 +321,17 @@ def test_repeated_words_by_suffixes():
     assert html.covered_by(html.shared_starts(words, page, 3), 3).tolist() == [True] * 3 + [False] * 3 + [True] * 3 + [False] * 5
 
 
+def test_pipeline_bands_fit_its_threshold(spark, documents, monkeypatch):
+    import corpus_pipeline
+
+    given, keep_one = {}, minhash.keep_one
+    monkeypatch.setattr(minhash, "keep_one", lambda docs, **settings: given.update(settings) or keep_one(docs, **settings))
+    kept = corpus_pipeline.drop_near_copies(spark, documents.where("doc_id in (1, 3, 12)"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 12]
+    rows = given.get("band_rows", minhash.BAND_ROWS)
+    assert (1 - (given["percent"] / 100) ** rows) ** (2 * minhash.PERMUTATIONS // rows) < 0.0001
+
+
 def test_pipeline_on_edge_rows(spark, documents, tmp_path):
     import corpus_pipeline
 
