@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--csv", help="folder with agents.csv, claims.csv, clients.csv, policies.csv, premiums.csv")
     src.add_argument("--parquet", help="folder with one Parquet dataset per table")
     src.add_argument("--mapped", help="folder with the TPC-H-like test tables")
+    ap.add_argument("--lenient", action="store_true", help="read unreadable CSV fields as NULL; their rows go to OUT/rejected_rows")
     ap.add_argument("--narrow-ids", action="store_true", help="read ids as 32-bit integers")
     ap.add_argument("--query", choices=sorted(QUERIES), help="show one named result")
     ap.add_argument("--rows", type=int, default=50, help="rows to show with --query")
@@ -39,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder.getOrCreate()
 
     if args.csv:
-        t = read_csv_portfolio(spark, args.csv, wide_ids=not args.narrow_ids)
+        t = read_csv_portfolio(spark, args.csv, wide_ids=not args.narrow_ids, lenient=args.lenient)
     elif args.parquet:
         t = read_parquet_portfolio(spark, args.parquet, wide_ids=not args.narrow_ids)
     else:

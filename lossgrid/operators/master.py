@@ -16,12 +16,13 @@ third of all policies never gathers its policies in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import div
 from ..sources.readers import Portfolio
 from .facts import claim_side, premium_side, zero_money
+from .flags import flag_words, with_flag
 
 MASTER_COLUMNS = (
     "policy_id", "client_id", "product_type", "start_date", "end_date",
@@ -37,25 +38,42 @@ MONEY_COLUMNS = ("total_premium", "total_claim", "total_claim_accepted", "profit
 
 
 DIMENSIONS = {"clients": "client_id", "agents": "agent_id"}
-# Duplicate dimension keys up to this many are broadcast, beyond it shuffled.
-MAX_BROADCAST_KEYS = 100_000
 
 
-def key_copies(t: Portfolio, name: str) -> DataFrame | None:
-    """``key, copies`` of the keys that dimension ``name`` holds more than once; None if none.
+def repeated_keys(t: Portfolio, name: str) -> DataFrame:
+    """``_key, _copies`` of the keys that dimension ``name`` holds more than once."""
+    rows = getattr(t, name).groupBy(F.col(DIMENSIONS[name]).alias("_key"))
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("_copies")).filter(F.col("_copies") > 1)
+
+
+def verified(t: Portfolio) -> Portfolio:
+    """``t`` with the dimensions whose keys are found unique marked so (one job for each not yet marked)."""
+    found = {name for name in DIMENSIONS if name not in t.unique and repeated_keys(t, name).isEmpty()}
+    return t.with_unique(t.unique | found)
+
+
+def _hash(key: Column) -> Column:
+    return F.xxhash64(key.isNull(), key)
+
+
+def with_copies(rows: DataFrame, t: Portfolio, name: str) -> DataFrame:
+    """``rows``, each as often as dimension ``name`` holds its key (once if it does not).
 
     A left join to a dimension repeats a policy once for each row of its key,
     so a rollup that reads no column of the dimension needs only these counts.
-    They are counted once per portfolio, which also tells whether they may be
-    broadcast.
+    Where the keys are known to be unique there is nothing to do.  Otherwise
+    the plan itself finds the repeated keys: they go to the tasks as a bounded
+    set of flags, and only the rows flagged are dealt out to meet their number.
     """
-    if name not in t.copies:
-        key = DIMENSIONS[name]
-        rows = getattr(t, name).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-        rows = rows.filter(F.col("_copies") > 1)
-        n = rows.limit(MAX_BROADCAST_KEYS + 1).count()
-        t.copies[name] = None if n == 0 else F.broadcast(rows) if n <= MAX_BROADCAST_KEYS else rows
-    return t.copies[name]
+    if name in t.unique:
+        return rows
+    key, copies = F.col(DIMENSIONS[name]), repeated_keys(t, name)
+    words = flag_words(copies.select(_hash(F.col("_key")).alias("_hash")), "_hash")
+    marked = with_flag(rows, _hash(key), words)
+    once, some = (marked.where(c).drop("_flagged") for c in ("not _flagged", "_flagged"))
+    some = some.join(copies, key.eqNullSafe(F.col("_key")), "left")
+    times = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))
+    return once.union(some.withColumn("_copy", times).select(once.columns))
 
 
 def join_dimension(rows: DataFrame, t: Portfolio, name: str) -> DataFrame:
@@ -77,14 +95,14 @@ def policy_facts(t: Portfolio, need: tuple[str, ...] = ("clients", "agents"), la
         return t.facts
     prem_side = premium_side(t).select("policy_id", "sum_prem")
     clm_side = claim_side(t).select("policy_id", "total_claim", "nb_claims", "sum_claim", "n_claim_ids")
-    facts = t.policies.join(prem_side, "policy_id", "left").join(clm_side, "policy_id", "left")
-    for name, key in DIMENSIONS.items():
+    policies = t.policies
+    for name in DIMENSIONS:
+        if name not in need and name not in later:
+            policies = with_copies(policies, t, name)
+    facts = policies.join(prem_side, "policy_id", "left").join(clm_side, "policy_id", "left")
+    for name in DIMENSIONS:
         if name in need:
             facts = join_dimension(facts, t, name)
-        elif name not in later and (copies := key_copies(t, name)) is not None:
-            facts = facts.join(copies, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-            repeated = F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))
-            facts = facts.withColumn("_copy", repeated).drop("_copies", "_copy")
     prem = F.coalesce(F.col("sum_prem"), zero_money())
     acc = F.coalesce(F.col("sum_claim"), zero_money())
     profit = prem - acc

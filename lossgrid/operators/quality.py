@@ -1,19 +1,24 @@
 """Data-quality and profiling operators (DQ-1 .. DQ-12).
 
 :func:`audit` reports rows, duplicate rows and NULLs per column of one
-table from a single group-by over all columns: grouping keeps NULLs as a
-key (NULL = NULL, as pandas ``duplicated`` does), so the NULL count of a
-column is the sum of the group sizes whose key is NULL there.  One shuffle
-per table, with map-side combining of repeated rows.  :func:`null_columns`
+table.  Repeated rows (NULL = NULL, as pandas ``duplicated`` has it) are found
+from 128-bit fingerprints: the group-by moves hashes, not rows.  Only the
+rows whose fingerprint was met twice are then grouped by all their columns,
+which decides exactly; the fingerprints met twice go to the tasks as a
+bounded set of flags (:mod:`lossgrid.operators.flags`).  :func:`null_columns`
 needs no duplicates and shuffles no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.readers import Portfolio
+from .flags import flag_words, with_flag
 
 
 def _by_column(df: DataFrame):
@@ -43,19 +48,50 @@ def null_columns(df: DataFrame, name: str) -> DataFrame:
     return long.select(F.lit(name).alias("table_name"), "c.column_name", "c.n_nulls")
 
 
+_MASK_BITS = 63
+
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """``_h1, _h2`` (two 64-bit hashes of a whole row) and ``_mask0, ...``, the bits of its NULL columns.
+
+    Spark's hash passes over NULLs, so each column is hashed with its NULL mark.
+    """
+    marked = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    hashes = [F.xxhash64(F.lit(seed), *marked).alias(name) for seed, name in ((0, "_h1"), (1, "_h2"))]
+    masks = []
+    for at in range(0, len(df.columns), _MASK_BITS):
+        bits = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(df.columns[at : at + _MASK_BITS])]
+        masks.append(reduce(add, bits).alias(f"_mask{at // _MASK_BITS}"))
+    return df.select(*hashes, *masks)
+
+
+def repeated_rows(df: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of ``df`` that occur more than once, each once with its number ``__n``.
+
+    ``met``: groups of :func:`fingerprints` with their size ``__n``.  Rows
+    without a twin have a fingerprint of their own and mostly go no further.
+    """
+    words = flag_words(met.where("__n > 1"), "_h1")
+    marked = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    likely = with_flag(df, F.xxhash64(F.lit(0), *marked), words).where("_flagged").drop("_flagged")
+    return likely.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+
+
 def audit(df: DataFrame, name: str) -> DataFrame:
     """DQ-1/3/4/5/7: ``table_name, n_columns, column_position, column_name, data_type,
     n_rows, n_dup_rows, n_nulls`` (one row per column)."""
     cols = df.columns
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    wide = grouped.agg(
-        F.sum("__n").alias("n_rows"),
-        F.sum(F.col("__n") - 1).alias("n_dup_rows"),
-        *[
-            F.sum(F.when(F.col(c).isNull(), F.col("__n")).otherwise(0)).alias(f"__null_{i}")
-            for i, c in enumerate(cols)
-        ],
-    )
+    printed = fingerprints(df)
+    met = printed.groupBy(*printed.columns).agg(F.count(F.lit(1)).alias("__n"))
+    nulls = [
+        F.sum(F.getbit(f"_mask{i // _MASK_BITS}", F.lit(i % _MASK_BITS)) * F.col("__n")).alias(f"__null_{i}")
+        for i in range(len(cols))
+    ]
+    counted = met.agg(F.sum("__n").alias("n_rows"), *nulls)
+    again = repeated_rows(df, met).agg(F.sum(F.col("__n") - 1).alias("n_dup_rows"))
+    # Two results of one row each, added up instead of joined.
+    both = counted.unionByName(again, allowMissingColumns=True)
+    wide = both.agg(*[F.sum(c).alias(c) for c in both.columns])
     long = wide.select(
         F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
         F.coalesce(F.col("n_dup_rows"), F.lit(0)).cast("long").alias("n_dup_rows"),

@@ -25,14 +25,15 @@ from ..functions.ordering import pandas_desc
 from ..operators import quality
 from ..operators.facts import accepted, accepted_claim_totals, claim_side, claim_totals, premium_side, premium_totals
 from ..operators.master import join_dimension, master, policy_facts
+from ..operators.pivot import pivot_cells
 from ..operators.selection import (
     fraction_size,
     linear_quantile,
-    order_statistics,
     quantile_ranks,
-    top_sum_expr,
+    rank_cells,
+    stage_values,
+    top_sum_of_cells,
 )
-from ..session import materialize
 from ..sources.readers import Portfolio
 
 
@@ -253,10 +254,11 @@ def n13_country_product_mean_lr(t: Portfolio) -> DataFrame:
 def n13b_country_product_pivot(t: Portfolio) -> DataFrame:
     """AG-13: the same means, one column for each product that has a cell (names in order).
 
-    Spark finds the products in the aggregated cells, so none can be missed.
+    The products are read from the written cells, so none can be missed and
+    the facts are joined once.
     """
     cells = _mean_lr_cells(t).select("country", "product_type", round_even(F.col("lr"), 1).alias("lr"))
-    return cells.groupBy("country").pivot("product_type").agg(F.first("lr")).orderBy("country")
+    return pivot_cells(cells, "country", "product_type", "lr").orderBy("country")
 
 
 def n14_yearly(t: Portfolio) -> DataFrame:
@@ -313,33 +315,25 @@ def n15_risk_by_product(t: Portfolio) -> DataFrame:
 
 
 def n16_claim_amount_describe(t: Portfolio) -> DataFrame:
-    """AG-14 on accepted claim amounts: exact quantiles by distributed selection."""
-    values = materialize(accepted(t.claims).select(F.col("claim_amount").alias("v")).filter(
-        F.col("v").isNotNull()
-    ), "claim-amounts")
-    stats = values.agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    ).first()
-    n = stats["n"]
-    probs = [0.25, 0.5, 0.75]
-    if n:
-        order = order_statistics(
-            values, "v", quantile_ranks(n, probs), count=n, vmin=stats["lo"], vmax=stats["hi"]
-        )
-        qs = [linear_quantile(order, n, p) for p in probs]
-    else:
-        qs = [None, None, None]
-    v = F.col("v")
-    return values.agg(
-        F.count(v).alias("count"),
-        round_even(F.when(F.count(v) > 0, div(F.sum(v), F.count(v))), 2).alias("mean"),
-        round_even(F.stddev_samp(dbl(v)), 2).alias("std"),
-        round_even(dbl(F.min(v)), 2).alias("min"),
-        *[
-            round_even(F.lit(q).cast("double"), 2).alias(name)
-            for q, name in zip(qs, ("p25", "p50", "p75"))
-        ],
-        round_even(dbl(F.max(v)), 2).alias("max"),
+    """AG-14 on accepted claim amounts: exact quantiles from a staged column scanned once more."""
+    v = F.col("claim_amount")
+    amounts = accepted(t.claims).where(v.isNotNull())
+    # The squares are added up as exact decimals while the column is written.
+    staged = stage_values(amounts, "claim_amount", "claim-amounts", squares=F.sum(F.col("v") * F.col("v")))
+    n, probs = staged.count, (0.25, 0.5, 0.75)
+    cells, order = rank_cells(staged, quantile_ranks(n, list(probs)) if n else [])
+    qs = [linear_quantile(order, n, p) if n else None for p in probs]
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    size, mean = F.col("n"), div(F.col("s"), F.col("n"))
+    squares = F.lit(staged.extra["squares"]).cast("double")
+    spread = F.greatest((squares - size * mean * mean) / (size - 1), F.lit(0.0))
+    return total.select(
+        size.alias("count"),
+        round_even(F.when(size > 0, mean), 2).alias("mean"),
+        round_even(F.when(size > 1, F.sqrt(spread)), 2).alias("std"),
+        round_even(dbl(F.col("lo")), 2).alias("min"),
+        *[round_even(F.lit(q).cast("double"), 2).alias(name) for q, name in zip(qs, ("p25", "p50", "p75"))],
+        round_even(dbl(F.col("hi")), 2).alias("max"),
     )
 
 
@@ -406,38 +400,25 @@ def n18_clv_segments(t: Portfolio) -> DataFrame:
 
 def n19_clv_concentration(t: Portfolio) -> DataFrame:
     """AG-20: top 20 % / 10 % and bottom 10 % CLV sums, exact at any size."""
-    values = materialize(client_clv(t).select(F.col("clv").alias("v")), "client-values")
-    stats = values.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("v").alias("nv"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    ).first()
-    n_clients = stats["n"]
-    n20 = fraction_size(n_clients, 0.20)
-    n10 = fraction_size(n_clients, 0.10)
-    nv = stats["nv"]
+    staged = stage_values(client_clv(t), "clv", "client-values")
+    n20 = fraction_size(staged.rows, 0.20)
+    n10 = fraction_size(staged.rows, 0.10)
     wanted = {}
     if n20:
-        wanted["t20"] = nv - n20
+        wanted["t20"] = staged.count - n20
     if n10:
-        wanted["t10"] = nv - n10
+        wanted["t10"] = staged.count - n10
         wanted["b10"] = n10 - 1
-    order = (
-        order_statistics(values, "v", list(wanted.values()), count=nv, vmin=stats["lo"], vmax=stats["hi"])
-        if wanted
-        else {}
-    )
+    # Cut at zero as well, so that the clients above it can be counted.
+    cells, order = rank_cells(staged, list(wanted.values()), cuts=(0.0,))
     th = {k: order[r] for k, r in wanted.items()}
-    v = F.col("v")
-    g = values.agg(
-        F.count(F.lit(1)).alias("n_clients"),
-        F.count_if(v > 0).alias("n_rentables"),
-        F.sum(v).alias("total"),
-        top_sum_expr(v, n20, th.get("t20")).alias("top20"),
-        top_sum_expr(v, n10, th.get("t10")).alias("top10"),
-        top_sum_expr(v, n10, th.get("b10"), largest=False).alias("bot10"),
-    )
+    g = cells.agg(
+        F.coalesce(F.sum(F.when(F.col("lo") > 0, F.col("n"))), F.lit(0)).alias("n_rentables"),
+        F.sum("s").alias("total"),
+        top_sum_of_cells(n20, th.get("t20")).alias("top20"),
+        top_sum_of_cells(n10, th.get("t10")).alias("top10"),
+        top_sum_of_cells(n10, th.get("b10"), largest=False).alias("bot10"),
+    ).withColumn("n_clients", F.lit(staged.rows).cast("long"))
     return g.select(
         "n_clients",
         "n_rentables",

@@ -21,6 +21,7 @@ from ..operators.facts import claim_side, premium_side
 from ..operators.master import policy_facts
 from ..session import materialize, release
 from ..sources.readers import Portfolio
+from ..sources.sinks import replace_folder
 from . import charts, master_track, sql_track
 
 # Queries that read the raw tables rather than the master.
@@ -32,11 +33,11 @@ RAW_TABLE_QUERIES = {
 
 
 def build_report(
-    t: Portfolio, *, include_sql_track: bool = True, as_of: dt.date | None = None, name: str = "report"
+    t: Portfolio, *, include_sql_track: bool = True, as_of: dt.date | None = sql_track.AS_OF, name: str = "report"
 ) -> dict[str, DataFrame]:
     """All named results as DataFrames over one materialised master.
 
-    Tenure is reckoned at ``as_of`` (the current date by default).  The shared
+    Tenure is reckoned at ``as_of`` (None: the day it runs).  The shared
     tables stay until ``release(spark, name)``.
     """
     sides = t.with_sides(materialize(premium_side(t), name), materialize(claim_side(t), name))
@@ -64,8 +65,12 @@ def write_report(t: Portfolio, directory: str | None, fmt: str = "parquet") -> d
             df.write.format("noop").mode("overwrite").save()
             continue
         path = os.path.join(directory, name)
-        writer = df.write.mode("overwrite")
-        (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
+        write = df.write.option("header", True).csv if fmt == "csv" else df.write.parquet
+        replace_folder(t.policies.sparkSession, path, write)
         written[name] = path
+    if directory is not None and t.rejected is not None:
+        written["rejected_rows"] = os.path.join(directory, "rejected_rows")
+        write = t.rejected.write.option("header", True).csv if fmt == "csv" else t.rejected.write.parquet
+        replace_folder(t.policies.sparkSession, written["rejected_rows"], write)
     release(t.policies.sparkSession, run)
     return written

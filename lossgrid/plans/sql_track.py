@@ -28,7 +28,7 @@ from ..operators.facts import accepted, claim_side, fanout_weights, premium_side
 from ..sources.readers import Portfolio
 from ..sources.schemas import EXPENSE_RATIO_PCT, MIN_POLICIES_PER_AGENT
 
-# Reference date with which the registered query replaces CURRENT_DATE (T9).
+# The statement's CURRENT_DATE is the parameter as_of (T9); this is its one default.
 AS_OF = dt.date(2025, 12, 31)
 
 
@@ -209,10 +209,10 @@ def s04_top_agents(t: Portfolio, k: int = 10) -> DataFrame:
     return out.orderBy(pg_desc(F.col("profit_net")), *[pg_asc(F.col(c)) for c in AGENT_KEYS]).limit(k)
 
 
-def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date | None = None) -> DataFrame:
+def s05_top_clients_clv(t: Portfolio, k: int = 20, as_of: dt.date | None = AS_OF) -> DataFrame:
     """The k clients with the highest technical CLV, with first policy and tenure.
 
-    Tenure is reckoned at ``as_of``, by default the current date.
+    Tenure is reckoned at ``as_of``; None means the day the query runs.
     """
     g = _grouped_fanout(
         t,
@@ -254,26 +254,47 @@ def s06_frequency_severity(t: Portfolio) -> DataFrame:
     return out.orderBy(pg_desc(F.col("frequence")), "product_type")
 
 
+#: Years that a client's bitmap holds: WORDS words of 64 years from FIRST_YEAR on.
+FIRST_YEAR, WORDS = 1900, 4
+
+
+def client_years(policies: DataFrame) -> DataFrame:
+    """``annee_cohorte, annee_activite``: one row for each client and year in which a policy of its starts.
+
+    The years of a client are ``bit_or`` words, so one hash aggregation with
+    map-side combining holds them.  A start year outside the words' range is
+    kept as a row of its own (the filter is pushed to the scan) and gets its
+    cohort by a join, so no year is lost.
+    """
+    last = FIRST_YEAR + 64 * WORDS
+    rows = policies.filter(F.col("client_id").isNotNull()).select("client_id", F.year("start_date").alias("y"))
+    at = F.col("y") - FIRST_YEAR
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
+    words = [F.bit_or(F.when(F.floor(at / 64) == w, bit)).alias(f"w{w}") for w in range(WORDS)]
+    per_client = rows.groupBy("client_id").agg(F.min("y").alias("annee_cohorte"), *words)
+    span = F.sequence(F.lit(FIRST_YEAR), F.lit(last - 1))
+    word = F.array(*[F.coalesce(f"w{w}", F.lit(0)) for w in range(WORDS)])
+
+    def held(y):
+        return F.getbit(F.get(word, F.floor((y - FIRST_YEAR) / 64).cast("int")), F.pmod(y - FIRST_YEAR, F.lit(64))) == 1
+
+    inside = per_client.select("annee_cohorte", F.explode(F.filter(span, held)).alias("annee_activite"))
+    beyond = (F.col("start_date") < F.lit(dt.date(FIRST_YEAR, 1, 1))) | (F.col("start_date") >= F.lit(dt.date(last, 1, 1)))
+    others = policies.filter(F.col("client_id").isNotNull() & beyond).select(F.col("client_id").alias("c"), F.year("start_date").alias("annee_activite")).distinct()
+    outside = others.join(per_client, F.col("c") == F.col("client_id")).select("annee_cohorte", "annee_activite")
+    return inside.union(outside)
+
+
 def s07_cohort_retention(t: Portfolio) -> DataFrame:
     """Cohort = first start year of a client; retention vs the previous present year.
 
-    One shuffle on ``client_id`` gives each client's cohort together with the
-    set of its active years (bounded by the calendar, so the set stays
-    small even for a client holding a large share of all policies); a
-    second, tiny aggregation counts clients per (cohort, year).  This
-    replaces the statement's self-join of policies with the CTE.
+    One shuffle on ``client_id`` gives each client's cohort together with its
+    active years as bits of fixed words (:func:`client_years`), however many
+    policies it holds; a second, tiny aggregation counts clients per (cohort,
+    year).  This replaces the statement's self-join of policies with the CTE.
     """
-    years = t.policies.filter(F.col("client_id").isNotNull()).select(
-        "client_id", F.year("start_date").alias("y")
-    )
-    per_client = years.groupBy("client_id").agg(
-        F.min("y").alias("annee_cohorte"), F.collect_set("y").alias("ys")
-    )
-    active = per_client.select(
-        "client_id", "annee_cohorte", F.explode("ys").alias("annee_activite")
-    ).filter(F.col("annee_activite") >= F.col("annee_cohorte"))
-    counts = active.groupBy("annee_cohorte", "annee_activite").agg(
-        F.count("client_id").alias("clients_actifs")
+    counts = client_years(t.policies).groupBy("annee_cohorte", "annee_activite").agg(
+        F.count(F.lit(1)).alias("clients_actifs")
     )
     w = Window.partitionBy("annee_cohorte").orderBy("annee_activite")
     counts = counts.withColumn("prev", F.lag("clients_actifs").over(w))

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings every session running these plans should have; AQE re-plans joins
 # from runtime sizes (broadcast only what it measured small, split skewed
@@ -42,11 +42,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """This application's folder below the configured checkpoint folder; a scratch one only if unset."""
+    """This application's folder below the configured checkpoint folder.
+
+    Where none is configured, a local session gets a scratch folder; on a
+    cluster, whose machines would not share it, that is an error.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lossgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+        if not configured:
+            if sc.master.partition("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            configured = tempfile.mkdtemp(prefix="lossgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
@@ -63,6 +71,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """:func:`materialize`, and aggregates of ``df`` that are taken while it is written.
+
+    No further pass over the rows is needed to know them.
+    """
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    kept = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    found = seen.get
+    if set(metrics) <= set(found):
+        return kept, found
+    # A plan that is known to be empty may drop its metrics.
+    return kept, kept.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
+
+
 def release(spark: SparkSession, name: str = "*") -> int:
     """Delete this application's materialised tables of that name (all by default); how many went."""
     jvm = spark.sparkContext._jvm

@@ -72,11 +72,8 @@ TABLE_ORDER = ("agents", "claims", "clients", "policies", "premiums")
 # --- Fixed values (must equal the source project's data and code) -----------
 # Claim status that counts as paid; the comparison is case-sensitive.
 ACCEPTED = "Accepted"
-REJECTED = "Rejected"
 # Product lines, in alphabetical order (also the pivot column order).
 PRODUCTS = ("Auto", "Habitation", "Santé", "Vie")
-# Countries / agent regions; note the typographic apostrophe U+2019.
-COUNTRIES = ("Côte d’Ivoire", "Kenya", "Maroc", "Nigeria", "Sénégal")
 # Minimum number of policies before an agent is assessed (SQL track).
 MIN_POLICIES_PER_AGENT = 3
 # Estimated expense ratio in percent used by the combined ratio.

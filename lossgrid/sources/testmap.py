@@ -128,9 +128,10 @@ def mapped_portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
         .alias("claim_date"),
         F.when(F.col("l_returnflag") == "R", "Rejected").otherwise("Accepted").alias("status"),
     )
+    # Ids are made from the primary keys of customer and part, so each occurs once.
     return Portfolio(
         agents=agents, claims=claims, clients=clients, policies=policies, premiums=premiums
-    )
+    ).with_unique({"clients", "agents"})
 
 
 # The same five tables as SQL common table expressions over the base tables

@@ -60,7 +60,11 @@ def _key(row):
 
 
 def compare(spark, con, name: str, sf_dir: str, query_fn, sql: str) -> list[str]:
-    """Return a list of problems (empty when Spark and the oracle agree)."""
+    """Return a list of problems (empty when Spark and the oracle agree).
+
+    The oracle must also be a statement that can be stored as a view.
+    """
+    con.execute(f"CREATE OR REPLACE VIEW oracle_of_query AS {sql}")
     return compare_frames(query_fn(spark, sf_dir), con, sql)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from lossgrid.plans.registry import IO_QUERIES
 from lossgrid.plans.registry import QUERIES as PORTFOLIO_QUERIES
 from tests.conftest import SF_SMALL
 from tests.parity import compare, duck_connection
 
 # The optional training-data queries have their own tests.
-QUERIES = {name: entry.queries()[name] for name in PORTFOLIO_QUERIES}
+QUERIES = {name: entry.queries()[name] for name in PORTFOLIO_QUERIES | IO_QUERIES}
 ORACLE = entry.oracle_sql()
 
 

@@ -11,8 +11,7 @@ from lossgrid.session import materialize, release
 from lossgrid.sources.testmap import mapped_portfolio
 from tests.conftest import SF_SMALL
 
-# n16 / n19 read a materialised column; their plan is checked separately.
-LAZY = sorted(set(QUERIES) - {"n16_claim_amount_describe", "n19_clv_concentration"})
+LAZY = sorted(QUERIES)
 
 
 def _plan(df) -> str:
@@ -98,3 +97,34 @@ def test_unread_dimensions_are_not_joined(spark, t, name):
 @pytest.mark.parametrize("name", ["n12_country", "n13_country_product_mean_lr", "n13b_country_product_pivot", "v03_country_bands", "v08_portfolio_treemap"])
 def test_country_results_do_not_join_agents(spark, t, name):
     assert _dealt(_static_plan(spark, lambda: QUERIES[name](t)), "agent_id") == []
+
+
+STAGED = {"n13b_country_product_pivot", "n16_claim_amount_describe", "n19_clv_concentration", "v07_lr_histogram"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STAGED))
+def test_building_a_query_starts_no_job(spark, portfolio, name):
+    sc = spark.sparkContext
+    for label, tables in (("mapped", mapped_portfolio(spark, SF_SMALL)), ("unknown keys", portfolio())):
+        group = f"build-{name}-{label}"
+        sc.setJobGroup(group, group)
+        try:
+            QUERIES[name](tables)
+            assert list(sc.statusTracker().getJobIdsForGroup(group)) == []
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_repeated_dimension_keys_are_found_by_the_plan(spark, portfolio):
+    clients = [(1, 30, "Kenya", None), (1, 31, "Maroc", None), (2, 40, "Kenya", None), (None, 1, "Kenya", None), (None, 2, "Kenya", None)]
+    policies = [(10, 1, "Auto", None, None, 5), (11, 2, "Auto", None, None, 5), (12, None, "Auto", None, None, 6), (13, 9, "Vie", None, None, None)]
+    agents = [(5, "Kenya", 3), (5, "Kenya", 3), (5, "Kenya", 4)]
+    t = portfolio(clients=clients, policies=policies, agents=agents)
+    from lossgrid.operators.master import policy_facts, verified, with_copies
+
+    assert sorted(r["policy_id"] for r in with_copies(t.policies, t, "clients").collect()) == [10, 10, 11, 12, 12, 13]
+    assert sorted(r["policy_id"] for r in policy_facts(t, need=()).collect()) == [10] * 6 + [11] * 3 + [12] * 2 + [13]
+    whole = policy_facts(t).count()
+    assert whole == policy_facts(t, need=()).count() == policy_facts(t, need=("clients",)).count()
+    assert verified(t).unique == frozenset()
+    assert verified(portfolio(clients=clients[2:4], policies=policies)).unique == {"clients", "agents"}

@@ -73,3 +73,64 @@ def test_values_beyond_double_precision(spark, monkeypatch):
     ordered = sorted(values)
     ranks = list(range(len(values)))
     assert sel.order_statistics(df, "v", ranks, buckets=4) == {r: ordered[r] for r in ranks}
+
+
+def _staged_check(spark, values, ranks, **settings):
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(12,2)").repartition(4)
+    staged = sel.stage_values(df, "v", "stage-test")
+    kept = sorted(v for v in values if v is not None)
+    assert (staged.rows, staged.count) == (len(values), len(kept))
+    cells, found = sel.rank_cells(staged, ranks, **settings)
+    assert found == {r: kept[r] for r in ranks}
+    return staged, cells, kept
+
+
+def test_staged_ranks_and_sums_match_sorting(spark):
+    rng = np.random.default_rng(11)
+    values = [Decimal(int(c)).scaleb(-2) for c in rng.integers(-10**6, 10**6, size=20_000)] + [Decimal("12.34")] * 10_000 + [None] * 500
+    n = 30_000
+    _, cells, kept = _staged_check(spark, values, [0, 7_499, 15_000, 27_000, n - 1], cuts=(0.0,))
+    assert cells.count() < n / 5  # the gaps are added up
+    for size, largest, rank in ((3_000, True, n - 3_000), (3_000, False, 2_999)):
+        # thresholds at ranks of their own
+        staged, cells, _ = _staged_check(spark, values, [rank], cuts=(0.0,))
+        got = cells.agg(sel.top_sum_of_cells(size, kept[rank], largest).alias("s")).first()["s"]
+        assert got == sum(sorted(kept, reverse=largest)[:size])
+    positive = cells.agg(F.sum(F.when(F.col("lo") > 0, F.col("n")))).first()[0]
+    assert positive == sum(v > 0 for v in kept)
+
+
+def test_the_staged_column_is_scanned_once_after_it_is_written(spark, monkeypatch):
+    """Ranks, sums and the described result need no more than the cells."""
+    values = [Decimal(k).scaleb(-2) for k in range(5_000)]
+    staged = sel.stage_values(spark.createDataFrame([(v,) for v in values], "v decimal(12,2)"), "v", "gone")
+    real = sel._cells
+    calls = []
+    monkeypatch.setattr(sel, "_cells", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(sel, "order_statistics", _only_cells(sel.order_statistics, staged))
+    cells, found = sel.rank_cells(staged, [10, 2_500, 4_999])
+    assert calls == [1] and found == {r: values[r] for r in (10, 2_500, 4_999)}
+
+
+def _only_cells(real, staged):
+    def run(frame, *args, **kwargs):
+        assert frame is not staged.values, "the whole column is searched"
+        return real(frame, *args, **kwargs)
+
+    return run
+
+
+def test_a_rank_outside_its_bracket_is_still_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = [Decimal(int(c)).scaleb(-2) for c in rng.integers(0, 10**6, size=3_000)]
+    monkeypatch.setattr(sel, "_brackets", lambda staged, ranks, half: [(-2.0, -1.0)] * len(ranks))
+    _, cells, kept = _staged_check(spark, values, [3, 1_500, 2_400])
+    got = cells.agg(sel.top_sum_of_cells(600, kept[2_400]).alias("s")).first()["s"]
+    assert got == sum(sorted(kept, reverse=True)[:600])
+
+
+def test_stage_nothing_and_one_value(spark):
+    staged, cells, _ = _staged_check(spark, [None, None], [])
+    assert staged.sketch is None and cells.count() == 0
+    _staged_check(spark, [], [])
+    _staged_check(spark, [Decimal("1.00")] * 50, [0, 25, 49])

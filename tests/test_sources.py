@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 import pytest
@@ -7,8 +9,11 @@ from pyspark.sql import functions as F
 
 from lossgrid.operators.master import MASTER_COLUMNS
 from lossgrid.plans import master_track as n
-from lossgrid.sources.readers import read_csv_portfolio, read_csv_table, read_parquet_portfolio
-from lossgrid.sources.sinks import write_chart_datasets, write_master_csv, write_master_parquet
+from lossgrid.plans.registry import QUERIES
+from lossgrid.plans.report import write_report
+from lossgrid.sources.readers import read_csv_portfolio, read_csv_table, read_parquet_portfolio, rejected_counts
+from lossgrid.sources.schemas import SCHEMAS
+from lossgrid.sources.sinks import read_master, read_master_csv, replace_folder, stored_facts, write_chart_datasets, write_master_csv, write_master_parquet
 from lossgrid.sources.testmap import mapped_portfolio
 from tests.conftest import SF_SMALL
 
@@ -39,6 +44,84 @@ def test_csv_reader_fails_fast_on_bad_date(spark):
     assert lenient[0]["signup_date"] is None
 
 
+def test_rejected_rows_are_listed_with_file_and_text(spark):
+    folder = _scratch()
+    for name, schema in SCHEMAS.items():
+        with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as fh:
+            fh.write(",".join(schema.names) + "\n")
+            if name == "clients":
+                fh.write("1,30,Kenya,not-a-date\n2,x,Côte d’Ivoire,2020-01-02\n3,33,Maroc,2020-01-03\n4,44\n5,,,\n6,1,Kenya,2020-01-01,7\n")
+            if name == "claims":
+                fh.write("1,1,12.345x,2020-01-01,Accepted\n2,1,10.00,2020-01-01,Accepted\n")
+    t = read_csv_portfolio(spark, folder, lenient=True)
+    bad = {(r["table_name"], r["file_name"], r["row_text"]): r["null_fields"] for r in t.rejected.collect()}
+    assert bad == {
+        ("clients", "clients.csv", "1,30,Kenya,not-a-date"): "signup_date",
+        ("clients", "clients.csv", "2,x,Côte d’Ivoire,2020-01-02"): "age",
+        ("clients", "clients.csv", "4,44"): "country,signup_date",
+        ("clients", "clients.csv", "6,1,Kenya,2020-01-01,7"): "",
+        ("claims", "claims.csv", "1,1,12.345x,2020-01-01,Accepted"): "claim_amount",
+    }
+    # Neither the columns read nor a count changes what is rejected; no row is lost.
+    assert t.rejected.count() == t.rejected.select("table_name").count() == 5
+    assert {r["table_name"]: r["n_rejected"] for r in rejected_counts(t).collect()} == {"clients": 4, "claims": 1}
+    assert t.clients.count() == 6 and t.claims.count() == 2
+    with pytest.raises(ValueError):
+        rejected_counts(mapped_portfolio(spark, SF_SMALL))
+    written = write_report(t, f"{folder}/out")
+    assert spark.read.parquet(written["rejected_rows"]).count() == 5
+
+
+def test_a_failed_write_leaves_the_old_export_whole(spark):
+    out = f"{_scratch()}/export"
+    rows = spark.range(10)
+    replace_folder(spark, out, rows.write.parquet)
+    fails = spark.range(10).select(F.assert_true(F.col("id") < 7, F.lit("broken")).alias("x"))
+    for write in (fails.write.parquet, rows.write.format("no such format").save):
+        with pytest.raises(Exception):
+            replace_folder(spark, out, write)
+        assert spark.read.parquet(out).count() == 10
+        assert os.listdir(os.path.dirname(out)) == ["export"]
+    replace_folder(spark, out, spark.range(3).write.parquet)
+    assert spark.read.parquet(out).count() == 3
+    assert os.listdir(os.path.dirname(out)) == ["export"]
+
+
+def test_an_export_may_be_made_from_the_one_it_replaces(spark):
+    out = f"{_scratch()}/export"
+    replace_folder(spark, out, spark.range(10).write.parquet)
+    replace_folder(spark, out, spark.read.parquet(out).where("id < 4").write.parquet)
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_years_of_the_stored_master_are_pruned(spark):
+    t = mapped_portfolio(spark, SF_SMALL)
+    out = f"{_scratch()}/master"
+    write_master_parquet(n.n09_master(t), out)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    some = read_master(spark, out, [1993, 1995])
+    assert re.search(r"PartitionFilters: \[.*annee_debut#\d+ IN \(1993,1995\)", plan(some))
+    assert sorted(map(str, some.collect())) == sorted(map(str, n.n09_master(t).where("annee_debut in (1993, 1995)").collect()))
+    # Years that only a join knows prune as well.
+    spark.range(1990, 2000).select(F.col("id").cast("int").alias("y"), (F.col("id") % 3).alias("k")).write.mode("overwrite").parquet(f"{out}-years")
+    years = spark.read.parquet(f"{out}-years").where("k = 1")
+    joined = read_master(spark, out).join(F.broadcast(years), F.col("annee_debut") == F.col("y"))
+    assert "dynamicpruning" in plan(joined)
+    # Every rollup runs over the stored rows and gives the same.
+    stored = t.with_facts(stored_facts(spark, out))
+    for name in ("n10_global_kpis", "n11_product", "n12_country", "n14_yearly", "n17_client_clv", "n22_agent_performance", "v08_portfolio_treemap"):
+        assert sorted(map(str, QUERIES[name](stored).collect())) == sorted(map(str, QUERIES[name](t).collect())), name
+
+
+def test_the_csv_master_reads_back_as_it_was(spark):
+    t = mapped_portfolio(spark, SF_SMALL)
+    out = f"{_scratch()}/master"
+    write_master_csv(n.n09_master(t), out)
+    back = read_master_csv(spark, out)
+    assert back.dtypes == n.n09_master(t).dtypes
+    assert sorted(map(str, back.collect())) == sorted(map(str, n.n09_master(t).collect()))
+
+
 def test_master_sinks_and_readers_round_trip(spark):
     t = mapped_portfolio(spark, SF_SMALL)
     master = n.n09_master(t)
@@ -93,9 +176,6 @@ def test_wide_ids_run_the_same_queries(spark):
 
 
 def test_write_report_writes_every_result(spark):
-    from lossgrid.plans.registry import QUERIES
-    from lossgrid.plans.report import write_report
-
     t = mapped_portfolio(spark, SF_SMALL)
     out = _scratch()
     written = write_report(t, out)
