@@ -11,19 +11,21 @@ Steps, none of which emits the pairs of a group:
 
 1. Documents with the same set (128-bit digest) form a class; its smallest
    doc_id represents it, so exact copies never multiply work.
-2. Representatives that share a band bucket are connected through the
-   bucket's smallest member; connected components of these star links hold
-   every candidate pair.
-3. Star links whose signatures put the threshold within reach label what they
-   connect.  Inside a component, members with different labels still have to
+2. Representatives that share a band bucket are candidates.  Each is first
+   compared with the bucket's smallest member; the links whose signatures put
+   the threshold within reach label what they connect, over all buckets.
+3. Only in buckets whose members have different labels do these still have to
    meet: they are dealt into blocks, and each pair of blocks is one piece of
    work that keeps a spanning forest of the pairs within reach.  The largest
-   label is the core, whose blocks meet only those of the rest, so a group of
-   near copies costs its members once and not the square of its size.  The
-   components of these links are the families.
+   label is the core, whose blocks meet only those of the rest.  So pairs meet
+   only if they share a bucket and nothing links them yet, and texts that
+   share half their words but few buckets cost little, however many they are.
+   The components of these links are the families.
 4. Inside a family full sets are compared, first with the family's smallest
-   member, then again by pairs of blocks between what that left apart.  The
-   components of the confirmed links are the result.
+   member, then again by pairs of blocks between what that left apart.  A
+   family of n members that are all linked to the smallest costs n rows; one
+   that is similar only in chains costs up to n times its number of blocks of
+   512.  The components of the confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -290,23 +292,26 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     classes = shown.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bands", "signature"), "doc_id").alias("of"))
     classes = stage(classes.select("digest", "node", "of.*"), "classes")
 
-    # 2. buckets
+    # 2. members of buckets that several share; links to a bucket's smallest member come first
     buckets = classes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(redealt(F.col("key")).alias("own"), "least")
-    stars = buckets.join(shared, F.col("key") == F.col("own")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    stars = stage(stars, "stars")
-    near = components(stars, "buckets")
-
-    # 3. families by estimate; star links within reach come first, so what they connect need not meet
+    members = stage(buckets.join(shared, F.col("key") == F.col("own")).select("key", "node", "least"), "members")
+    stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     marks = classes.select("node", "signature")
     pivots = marks.select(redealt(F.col("node")).alias("p"), F.col("signature").alias("pivot"))
     pairs = stars.join(marks, F.col("a") == F.col("node")).join(pivots, F.col("b") == F.col("p")).select("a", "b", "signature", "pivot")
-    first = stage(pairs.mapInArrow(_likely(permutations, percent / 100 - margin), "a long, b long"), "first-links")
-    labels = components(first, "labels").select(F.col("node").alias("n"), F.col("component").alias("label"))
-    members = classes.select("node", "n_shingles", "signature").join(near.select("node", F.col("component").alias("family")), "node")
-    members = members.join(labels, F.col("node") == F.col("n"), "left").select("node", "family", "n_shingles", "signature", F.coalesce("label", "node").alias("label"))
-    likely = _in_blocks(stage(members, "members")).mapInArrow(_forest(percent, margin, confirm=False), "a long, b long")
-    families = stage(components(likely.union(first), "families").select("node", F.col("component").alias("family")), "families")
+    first = pairs.mapInArrow(_likely(permutations, percent / 100 - margin), "a long, b long")
+    labels = stage(components(first, "labels"), "labels")
+
+    # 3. families by estimate: in buckets of several labels these meet
+    named = members.join(labels.select(F.col("node").alias("n"), F.col("component").alias("label")), F.col("node") == F.col("n"), "left")
+    named = stage(named.select("key", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(redealt(F.col("key")).alias("own"))
+    met = named.join(open_, F.col("key") == F.col("own")).join(classes.select(redealt(F.col("node")).alias("c"), "n_shingles", "signature"), F.col("node") == F.col("c"))
+    met = stage(met.select("node", F.col("key").alias("family"), "n_shingles", "signature", "label"), "meeting")
+    likely = _in_blocks(met).mapInArrow(_forest(percent, margin, confirm=False), "a long, b long")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    families = stage(components(likely.union(known), "families").select("node", F.col("component").alias("family")), "families")
 
     # 4. links confirmed on full sets, to each family's pivot (its smallest member) first
     whole = docs.join(families, F.col("doc_id") == F.col("node")).select("node", "family", "text")

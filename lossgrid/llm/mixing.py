@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import small_side, stage, word_count
+from .util import small_side, stage, stage_observed, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -105,8 +105,9 @@ def multipliers(sizes: DataFrame, per: DataFrame, most: int = MOST_COPIES) -> Da
         inside = F.when((inside > low) & (inside < high), inside).otherwise((low + high) / 2)
         step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise(inside)
         done = F.abs(gap) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0))
-        state = stage(sums.select("source", F.when(done, F.col("multiplier")).otherwise(step).alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done")), "multipliers")
-        if state.where("not done").isEmpty():
+        state = sums.select("source", F.when(done, F.col("multiplier")).otherwise(step).alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done"))
+        state, seen = stage_observed(state, "multipliers", open=F.count_if(~F.col("done")))
+        if not seen["open"]:
             break
         state = state.drop("done")
     return state.select("source", "multiplier")

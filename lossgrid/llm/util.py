@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lossgrid.session import ensure_checkpoint_dir
@@ -35,6 +35,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """:func:`stage`, and aggregates of ``df`` taken while it is written, so no job of their own is needed."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    kept = stage(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    found = seen.get
+    if set(metrics) <= set(found):
+        return kept, found
+    # A plan that is known to be empty may drop its metrics.
+    return kept, kept.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
+
+
 def release(spark: SparkSession) -> int:
     """Delete every staged table of this session's checkpoint folder; how many went."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
