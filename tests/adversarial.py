@@ -15,7 +15,10 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 
-from lossgrid.sources.schemas import COUNTRIES, PRODUCTS
+from lossgrid.sources.schemas import PRODUCTS
+
+# Fixed values; note the typographic apostrophe U+2019.
+COUNTRIES = ("Côte d’Ivoire", "Kenya", "Maroc", "Nigeria", "Sénégal")
 
 MONEY = pa.decimal128(10, 2)
 
