@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lossgrid.operators.flags import flag_words, with_flag
+
 from .components import redealt
 from .util import slices, small_side, stage, word_count
 
@@ -128,7 +130,11 @@ def matches(notices: DataFrame, known: DataFrame, least: float = LEAST_COSINE) -
 
     left = listed.join(possible.select("notice_id").distinct(), "notice_id", "left_semi")
     one = stage(left.select("notice_id", F.explode("terms").alias("term")).groupBy("notice_id", "term").agg(F.count("*").alias("tf")), "possible-terms")
-    met = listed.withColumn("terms", F.array_distinct("terms")).select("n", F.explode("terms").alias("term")).join(small_side(one.select("term").distinct()), "term", "left_semi")
+    # Of all terms only those that these notices hold are counted: a bounded set of
+    # flags takes the others out where they are read, and the rest is summed up
+    # before it is dealt.  A term let through by a collision meets nothing below.
+    met = listed.withColumn("terms", F.array_distinct("terms")).select("n", F.explode("terms").alias("term"))
+    met = with_flag(met, F.xxhash64("term"), flag_words(one.select(F.xxhash64("term").alias("hash")), "hash")).where("_flagged")
     norms = one.join(idf(met.groupBy("term").agg(F.sum("n").alias("df"))), "term").groupBy("notice_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     scored = possible.join(norms, "notice_id").select("notice_id", "licence", "size", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 9).alias("cosine"))
     best = scored.groupBy("notice_id").agg(F.min(F.struct((-F.col("cosine")).alias("below"), "licence", "size")).alias("b"))
