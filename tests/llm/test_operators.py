@@ -276,6 +276,35 @@ def test_substring(spark, documents, nothing):
     assert len(edge) == len(ROWS) and substring.remove_repeats(nothing).count() == 0
 
 
+def test_substring_finds_single_sentences_unpunctuated_passages_and_other_marks(spark):
+    long = "Here one sentence of more than twelve words stands alone and comes back between quite other neighbours later."
+    stretch = " ".join(f"plain{i * i % 311}" for i in range(120))
+    han = "\u6570\u636e\u5904\u7406\u662f\u4e00\u9879\u91cd\u8981\u7684\u5de5\u4f5c\u5185\u5bb9\u3002"
+    rows = [(1, f"One start. {long} One end."), (2, f"Two begins. {long} Two ends."), (3, long), (4, long)]
+    rows += [(5, " ".join(f"a{i}" for i in range(60)) + f" {stretch} " + " ".join(f"b{i}" for i in range(60))), (6, " ".join(f"c{i}" for i in range(70)) + f" {stretch} " + " ".join(f"d{i}" for i in range(70)))]
+    rows += [(7, f"\u7532\u4e59\u4e19\u3002{han}\u4e01\u3002"), (8, f"\u5b50\u4e11\u3002{han}\u5bc5\u3002")]
+    found = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].text == rows[0][1]
+    assert (found[2].text, found[2].first_doc_ids) == ("Two begins. Two ends.", [1])
+    assert found[3].text == found[4].text == ""
+    assert found[5].text == rows[4][1]
+    left = found[6].text.split()
+    assert set(left) >= {f"c{i}" for i in range(60)} | {f"d{i}" for i in range(10, 70)}
+    assert sum(w.startswith("plain") for w in left) < 60  # but for the pieces at both ends
+    assert found[8].text == "\u5b50\u4e11\u3002\u5bc5\u3002"
+
+
+def test_substring_runs_cover_every_repeated_passage():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        found = [(0, 0, [f"w{j}"] * n) for j, n in enumerate(rng.integers(1, 16, rng.integers(1, 9)).tolist())]
+        spans = [(a, a + n) for a, n, _ in substring.runs(found, 12)]
+        for a in range(len(found)):
+            for b in range(a + 1, len(found) + 1):
+                if sum(len(s[2]) for s in found[a:b]) >= 12:
+                    assert {i for x, y in spans if a <= x and y <= b for i in range(x, y)} == set(range(a, b))
+
+
 def test_licenses(spark, documents, nothing):
     files = documents.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", F.coalesce("source", F.lit("x")), F.col("doc_id").cast("string")).alias("path"), "text")
     more = spark.createDataFrame([(50, "e/sub/deep", "plain text"), (51, "other/y", "plain"), (52, None, None)], "file_id long, path string, text string")

@@ -143,14 +143,15 @@ def test_substring(spark, docs):
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         cut = substring.sentences(d["text"] or "")
         gone, firsts = set(), set()
+        spans = set()
         for i in range(len(cut)):
-            end = i
-            while end < len(cut) and (end - i < substring.SENTENCES or sum(len(s[2]) for s in cut[i:end]) < substring.WORDS):
-                end += 1
-            words = [w for s in cut[i:end] for w in s[2]]
-            if end - i < substring.SENTENCES or len(words) < substring.WORDS:
-                continue
-            if (key := " ".join(words)) in seen:
+            sizes = [len(s[2]) for s in cut]
+            end = next((e for e in range(i + 1, len(cut) + 1) if sum(sizes[i:e]) >= substring.WORDS), None)
+            first = next((a for a in range(i, -1, -1) if sum(sizes[a : i + 1]) >= substring.WORDS), None)
+            spans |= ({(i, end)} if end else set()) | ({(first, i + 1)} if first is not None else set())
+        for i, end in sorted(spans):
+            key = " ".join(w for s in cut[i:end] for w in s[2])
+            if key in seen:
                 gone |= set(range(i, end))
                 firsts.add(seen[key])
             else:
