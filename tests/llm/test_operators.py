@@ -344,6 +344,27 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shell", ['<body class="no-sidebar">{}', '<html class="has-sidebar menu-open"><body class="cookie-ok">{}', '<main class="menu">{}</main>', '<div class="sidebar-layout"><p>One</p>{}</div>', '<div class="comment"><div id="footer_wrap">{}</div></div><div>Few words</div>'])
+def test_html_marks_on_what_holds_the_article(shell):
+    page = shell.format('<article><p>Text of the article goes on</p><p class="share-price">42 is the price</p><p class="legal">A law case</p><p class="share">Share this</p></article><div class="comments">bad</div>')
+    found = [t for kind, t in html.blocks(page) if kind == html.CONTENT]
+    assert [t for t in found if t != "bad"] == ["Text of the article goes on", "42 is the price", "A law case"]
+
+
+def test_html_marks_elsewhere():
+    kinds = {t: kind for kind, t in html.blocks('<div class="site-footer">a</div><div class="related"><article>teaser</article></div><p>Own text without an article here</p><div role="search">b</div><article class="comment">c</article>')}
+    assert kinds == {"a": 2, "teaser": 2, "Own text without an article here": 1, "b": 2, "c": 2}
+
+
+def test_html_short_blocks_of_two_pages_stay(spark):
+    page = "<h2>Summary</h2><p>{0} begins what this page alone tells, x{0} y{0}</p>"
+    rows = [(i, "http://s/a", page.format(f"k{i}")) for i in range(4)] + [(None, "http://t/a", "<p>" + "long text " * 50_000 + "</p>")] + [(9, "http://r/a", "<main><p>again</p></main>")] * 2
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows) and sum(r.text == "again" for r in found) == 2
+    assert {r.text.split("\n")[0] for r in found if r.page_id in range(4)} == {"Summary"}
+    assert len(next(r.text for r in found if r.page_id is None).split()) == 100_000
+
+
 def test_repeated_words_by_suffixes():
     words = np.array([1, 2, 3, 4, -1, 9, 1, 2, 3, 5, -2, 7, 7, -3])
     page = np.array([0] * 5 + [1] * 6 + [2] * 3)
