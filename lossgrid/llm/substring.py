@@ -90,7 +90,8 @@ def _keyed(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, str]]:
         yield doc_id, xxhash.xxh3_64_intdigest(f"{doc_id}\n{text}".encode("utf-8", "surrogatepass")) - 2**63, text
 
 
-RUNS = "h1 long, h2 int, doc_id long, doc_key long, first int, size int"
+#: ``span`` is first << 16 | size, as every sentence has a word and a run fewer sentences than words.
+RUNS = "h1 long, h2 int, doc_id long, doc_key long, span long"
 
 
 def _runs(words: int):
@@ -99,22 +100,23 @@ def _runs(words: int):
             rows = []
             for doc_id, key, text in _keyed(batch):
                 for first, size, body in runs(sentences(text), words):
-                    rows.append((xxhash.xxh3_64_intdigest(body) - 2**63, xxhash.xxh32_intdigest(body) - 2**31, doc_id, key, first, size))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["h1", "h2", "doc_id", "doc_key", "first", "size"])
+                    rows.append((xxhash.xxh3_64_intdigest(body) - 2**63, xxhash.xxh32_intdigest(body) - 2**31, doc_id, key, first << 16 | size))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["h1", "h2", "doc_id", "doc_key", "span"])
 
     return run
 
 
 def repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, doc_key, first, size, first_doc_id of every run that is not the first of its words."""
+    """doc_id, doc_key, span, first_doc_id of every run that is not the first of its words."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stage(docs.mapInArrow(_runs(words), RUNS), "runs")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "doc_key", "first")
-    origin = found.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
+    # The greatest inverted place is the first one; a null id, the least of all, comes last.
+    place = F.struct(*(F.bitwise_not(c).alias(c) for c in ("doc_id", "doc_key", "span")))
+    origin = found.groupBy("h1", "h2").agg(F.max(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
     origin = origin.select(redealt(F.col("h1")).alias("k1"), F.col("h2").alias("k2"), "origin")
-    later = found.join(origin, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(place != F.col("origin"))
-    return later.select("doc_id", "doc_key", "first", "size", F.when(~F.col("origin.no_id"), F.col("origin.doc_id")).alias("first_doc_id"))
+    later = found.join(origin, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(~place.eqNullSafe(F.col("origin")))
+    return later.select("doc_id", "doc_key", "span", F.bitwise_not("origin.doc_id").alias("first_doc_id"))
 
 
 def _without():
@@ -126,9 +128,10 @@ def _without():
             for text, spans in zip(texts(batch), batch.column("spans").to_pylist(), strict=True):
                 found = sentences(text)
                 gone = np.zeros(len(found) + 1, np.int64)
-                for s in spans or ():
-                    gone[s["first"]] += 1
-                    gone[min(len(found), s["first"] + s["size"])] -= 1
+                for span in spans or ():
+                    first, size = span >> 16, span & 0xFFFF
+                    gone[first] += 1
+                    gone[min(len(found), first + size)] -= 1
                 gone = np.cumsum(gone)[: len(found)] > 0
                 if gone.any():
                     out.append("".join(text[a:b] for (a, b, _), g in zip(found, gone, strict=True) if not g).rstrip())
@@ -156,7 +159,7 @@ def remove_repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     table gives an empty table.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeats(docs, words).groupBy(F.col("doc_id").alias("own_id"), "doc_key").agg(F.collect_set(F.struct("first", "size")).alias("spans"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    spans = repeats(docs, words).groupBy(F.col("doc_id").alias("own_id"), "doc_key").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     keyed = docs.mapInArrow(_with_key, "doc_id long, text string, key long")
     both = keyed.join(spans, (F.col("key") == F.col("doc_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
     both = both.select("doc_id", "text", "spans", F.coalesce("first_doc_ids", F.array().cast("array<long>")).alias("first_doc_ids"))
