@@ -264,6 +264,14 @@ def test_composed_machine_equals_the_cascade():
     assert written == [f if s == toxicity.HARM else 0.0 for s, f in passed]
 
 
+def test_language_without_a_kept_gram_is_passed_over(spark):
+    rows = [(i, "common words of one language come again and again", "aa") for i in range(20)] + [(30, "zq", "xx")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(documents, max_ngrams=10)
+    assert model.languages == ["aa"] and {r.lang_pred for r in langid.predict(documents, model).collect()} == {"aa"}
+    assert {r.doc_id: r.lang_pred for r in langid.predict(documents, langid.learn(documents)).collect()}[30] == "xx"
+
+
 def test_substring(spark, documents, nothing):
     passage = "A passage of several words that repeats here. It has a second sentence with more words. And a third one to end it."
     rows = [(1, f"First text stands alone. {passage} Its end differs."), (2, f"Another start of a text. {passage} Other end."), (3, "Nothing shared at all in this one. Really nothing that is shared here."), (4, passage)]
