@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import SPACE_BYTES, slices, stage
+from .util import SPACE_BYTES, map_arrow, named, slices, stage
 
 #: Bytes of text that a local trie holds before it spills.
 HELD_BYTES = 48 << 20
@@ -255,7 +255,7 @@ class _Stay:
 def _as_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with doc_id as long and text as string; other columns as they are."""
     typed = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
-    return documents.select(*(typed[c].alias(c) if c in typed else F.col(f"`{c}`") for c in documents.columns))
+    return documents.select(*(typed[c].alias(c) if c in typed else named(c) for c in documents.columns))
 
 
 def _owned(terminal_rows: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def _owned(terminal_rows: DataFrame) -> DataFrame:
 
 
 def _struct(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema.fields)
+    return ", ".join(f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def assign(documents: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
@@ -282,8 +282,12 @@ def assign(documents: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns; each text goes through one shuffle."""
+    """The rows that stay, with all their columns; each text goes through one shuffle.
+
+    Null text counts as empty; of rows that repeat an id and a text one stays.
+    Other columns may have any name.  An empty table gives an empty table.
+    """
     docs = _as_documents(documents)
-    local = docs.mapInArrow(_local(docs.columns, False, held_bytes), STAGED.format(_struct(docs)))
+    local = map_arrow(docs, _local(docs.columns, False, held_bytes), STAGED.format(_struct(docs)))
     rows = _owned(local.select("row_number", "member_id", "local_class", "n_rows", "n_points", "n_bytes", "content_hash", "best"))
     return rows.mapInArrow(_owners(_Stay()), docs.schema)

@@ -24,19 +24,24 @@ to the next.  No source is gathered in one task.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import small_side, stage, stage_observed, word_count
+from .util import named, small_side, stage, stage_observed, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: A document of this share of its source's words is rounded on its own.
 LARGE_SHARE = 0.002
+KEY = ("doc_id", "source", "size")
+ADDED = ("source_size", "target", "rate", "copies")
 BINS = 256
 ROUNDS = 4
+#: Steps by Newton's rule; what is open after them is halved instead, which ends for any input.
 NEWTON_STEPS = 60
 TOLERANCE = 1e-6
 
@@ -78,13 +83,15 @@ def multipliers(sizes: DataFrame, per: DataFrame, most: int = MOST_COPIES) -> Da
 
     A source whose target is ``most`` times its size has no finite root; its
     multiplier runs to the bound that makes every rate ``most``.  A target of
-    0 gives rates of 0.
+    0 gives rates of 0.  A source is done when its words are within
+    ``TOLERANCE`` of the target or its bracket is as narrow as doubles tell
+    apart; the steps end when all are, however many that takes.
     """
     spread = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     spread = spread.join(per.select(F.col("source").alias("s"), "n_docs", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     spread = stage(spread.withColumn("tilt", F.col("size") * F.col("n_docs") / F.col("source_size")), "sizes-by-source")
     state = stage(per.where("source_size > 0").select("source", F.lit(0.0).alias("multiplier"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high")), "multipliers")
-    for _ in range(NEWTON_STEPS):
+    for turn in count():
         rate = _rate(F.col("multiplier"), F.col("tilt"), most)
         tokens = F.col("n") * F.col("size")
         at = spread.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
@@ -103,14 +110,14 @@ def multipliers(sizes: DataFrame, per: DataFrame, most: int = MOST_COPIES) -> Da
         # Outside the bracket, or where nothing is left to tilt, take a longer step inside it.
         inside = F.when(F.abs(F.col("multiplier")) < 1, F.col("multiplier") + F.signum(gap)).otherwise(F.col("multiplier") + F.signum(gap) * F.abs(F.col("multiplier")))
         inside = F.when((inside > low) & (inside < high), inside).otherwise((low + high) / 2)
-        step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise(inside)
-        done = F.abs(gap) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0))
+        step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise(inside) if turn < NEWTON_STEPS else (low + high) / 2
+        narrow = high - low <= 1e-12 * F.greatest(F.abs(low), F.abs(high), F.lit(1e-3))
+        done = narrow | (F.abs(gap) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0)))
         state = sums.select("source", F.when(done, F.col("multiplier")).otherwise(step).alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done"))
         state, seen = stage_observed(state, "multipliers", open=F.count_if(~F.col("done")))
         if not seen["open"]:
-            break
+            return state.select("source", "multiplier")
         state = state.drop("done")
-    return state.select("source", "multiplier")
 
 
 def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,14 +171,23 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
 
 
 def apply(rows: DataFrame, planned: tuple[DataFrame, DataFrame], most: int = MOST_COPIES) -> DataFrame:
-    """Add source_size, target, rate and copies to rows with doc_id, source, size and any other column."""
+    """Add source_size, target, rate and copies to rows with doc_id, source, size and any other column.
+
+    Columns of those four names are replaced; all others, whatever their names,
+    come back as they are.
+    """
     per, large = planned
     row = F.struct("doc_id", "source", "size")
-    named = small_side(large.select(row.alias("_row"), F.col("copies").alias("_copies")))
-    at = _rated(rows.drop("source_size", "target", "shift", "rate", "point", "large", "copies"), per, most).join(named, row.eqNullSafe(F.col("_row")), "left")
+    taken = small_side(large.select(row.alias("_row"), F.col("copies").alias("_copies")))
+    kept = [c for c in rows.columns if c.lower() not in ADDED]
+    # Other columns travel as one struct, so that none of their names can clash.
+    others = [named(c).alias(c) for c in kept if c.lower() not in KEY]
+    packed = rows.select(*KEY, F.struct(*(others or [F.lit(0)])).alias("_others"))
+    at = _rated(packed, per, most).join(taken, row.eqNullSafe(F.col("_row")), "left")
     own = _copies(F.col("point"), F.coalesce("shift", F.lit(0.0)), most).cast("long")
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce("_copies", own)).cast("long")
-    return at.withColumn("copies", copies).drop("_row", "_copies", "shift", "point", "large")
+    whole = at.withColumn("copies", copies)
+    return whole.select(*(F.col(c) if c.lower() in KEY else F.col("_others").getField(c).alias(c) for c in kept), *ADDED)
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:

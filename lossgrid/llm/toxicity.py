@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import slices, stage, texts
+from .util import map_arrow, named, slices, stage, stage_observed, texts
 
 # Seed word classes (fixed values): closed-class words in four languages.
 TARGETS = frozenset(
@@ -220,21 +220,16 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic").cast(pa.int32()), pa.array(keys, pa.int64())], ["text", "toxic", "copy_key"])
 
 
-def _count(marks: frozenset[str] | None):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that hold each beginning, counted within a task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in slices(batches):
-            for text in texts(batch):
-                found = {b for w in set(LETTERS.findall(text.lower())) for b in beginnings(w)}
-                counts.update(found if marks is None else found & marks)
-            if len(counts) > 300_000:
-                yield _counted(counts)
-                counts.clear()
-        yield _counted(counts)
-
-    return run
+    counts: Counter[str] = Counter()
+    for batch in slices(batches):
+        for text in texts(batch):
+            counts.update({b for w in set(LETTERS.findall(text.lower())) for b in beginnings(w)})
+        if len(counts) > 300_000:
+            yield _counted(counts)
+            counts.clear()
+    yield _counted(counts)
 
 
 def _counted(counts: Counter[str]) -> pa.RecordBatch:
@@ -250,7 +245,7 @@ def chance(k: int, n: int, rate: float) -> float:
     return -n * (p * math.log(p / rate) + rest)
 
 
-def learn(documents: DataFrame, labels: DataFrame, usable=None, *, max_rows: int = 20_000, max_marks: int = 100_000, least_rows: int = 4, purity: float = 0.8) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, usable=None, *, max_rows: int = 20_000, least_rows: int = 4, purity: float = 0.8) -> Model:
     """Fit the lexicon and the logistic model on at most about ``max_rows`` labelled rows.
 
     ``documents``: doc_id, text; ``labels``: doc_id, toxic (null: not used; an
@@ -280,18 +275,18 @@ def learn(documents: DataFrame, labels: DataFrame, usable=None, *, max_rows: int
     if not toxic or not clean:
         return Model({}, (1.0, 1.0, 0.0, 0.0, 0.0), -4.0)
 
-    def counted(label: int, marks: frozenset[str] | None) -> DataFrame:
-        part = rows.where(F.col("toxic") == label).select("text").mapInArrow(_count(marks), "mark string, n long")
-        return part.groupBy("mark").agg(F.sum("n").alias("n"))
+    def counted(label: int) -> DataFrame:
+        part = rows.where(F.col("toxic") == label).select("text").mapInArrow(_count, "mark string, n long")
+        return part.groupBy("mark").agg(F.sum("n").alias(f"n{label}"))
 
-    # Bounded: the max_marks most frequent beginnings of the toxic rows.
-    often = {r["mark"]: r["n"] for r in counted(1, None).where(F.col("n") >= least_rows).orderBy(F.desc("n"), "mark").limit(max_marks).collect()}
-    also = {r["mark"]: r["n"] for r in counted(0, frozenset(often)).collect()}
-    rate, bound = toxic / (toxic + clean), math.log(0.01 / max(1, len(often)))
+    often = counted(1).where(F.col("n1") >= least_rows)
+    both = often.join(counted(0), "mark", "left").select("mark", F.col("n1").alias("k"), (F.col("n1") + F.coalesce("n0", F.lit(0))).alias("n"))
+    both, seen = stage_observed(both, "toxic-marks", tried=F.count(F.lit(1)))
+    rate, bound = toxic / (toxic + clean), math.log(0.01 / max(1, seen["tried"]))
     lexicon = {}
-    for mark, k in often.items():
-        n = k + also.get(mark, 0)
-        if k >= purity * n and chance(k, n, rate) < bound:
+    # Beginnings that mostly toxic rows hold, of at most max_rows rows.
+    for mark, k, n in both.where(F.col("k") >= purity * F.col("n")).collect():
+        if chance(k, n, rate) < bound:
             lexicon[mark] = math.log((k + 0.5) / (n - k + 0.5)) - math.log(rate / (1 - rate))
     # A beginning that adds no row to what a shorter one marks is left out.
     for mark in sorted(lexicon, key=len, reverse=True):
@@ -342,13 +337,13 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None, col
     """Add ``column`` (0 to 1) to every row; whole texts, null counts as empty.
 
     ``keep`` names the columns to return (all by default); one that is already
-    named ``column`` is replaced.  An empty text gets the score of a text without
+    named ``column`` is replaced.  An empty table gives an empty table, an empty text the score of a text without
     a match.  Rows are scored one by one, so repeated rows score alike.
     """
     kept = documents.drop(column)
     columns = [c for c in (keep or kept.columns) if c != column]
-    schema = kept.select(*columns, F.lit(0.0).alias(column)).schema
-    kept = kept.select(*dict.fromkeys([*columns, "text"]))
+    schema = kept.select(*map(named, columns), F.lit(0.0).alias(column)).schema
+    kept = kept.select(*map(named, dict.fromkeys([*columns, "text"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -356,4 +351,4 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None, col
             values = np.array([features(t, model.lexicon, known) for t in texts(batch)], dtype=float)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(probability(model, values))], [*columns, column])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)

@@ -85,5 +85,20 @@ def id_fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and back-ticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name; Spark itself reads a dot or back-tick in one as syntax."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -400,3 +400,31 @@ def test_pipeline_on_edge_rows(spark, documents, tmp_path):
         docs = step(spark, docs, str(tmp_path))
         assert docs.columns == documents.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_clashing_and_dotted_names_pass_through(spark, documents):
+    wide = documents.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("n_docs", "multiplier", "point", "_row", "a.b", "b`c", "row_number"))))
+    sizes = wide.withColumn("size", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    plain = mixing.mix(sizes.select("doc_id", "source", "size")).select("doc_id", "size", "copies")
+    mixed = mixing.mix(sizes)
+    assert mixed.columns == [c for c in sizes.columns if c != "copies"] + ["source_size", "target", "rate", "copies"]
+    rows = mixed.collect()
+    assert {(r["n_docs"], r["multiplier"], r["point"], r["_row"], r["a.b"], r["b`c"], r["row_number"]) for r in rows} == {(0, 1, 2, 3, 4, 5, 6)}
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, mixed.select("doc_id", "size", "copies").collect()))
+    empty = toxicity.Model({}, (1.0, 1.0, 0.0, 0.0, 0.0), -4.0)
+    assert toxicity.score(wide, empty).columns == [*wide.columns, "toxicity"]
+    assert {r["a.b"] for r in toxicity.score(wide, empty).collect()} == {4}
+    stay = exact_dedup.keep_one(wide)
+    assert stay.columns == wide.columns and {(r["a.b"], r["b`c"]) for r in stay.collect()} == {(4, 5)}
+
+
+def test_newton_steps_end_where_doubles_end(spark, monkeypatch):
+    rows = [(i, s, n) for i, (s, n) in enumerate([("a", 1), ("a", 10**9), ("b", 5), ("b", 5), ("c", 10**6), (None, 7)])]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 2)  # halving does the rest
+    per = mixing.targets(sizes)
+    got = {r.source: r.multiplier for r in mixing.multipliers(sizes, per).collect()}
+    for s, target in ((r.source, r.target) for r in per.collect()):
+        own = [n for _, x, n in rows if x == s]
+        reached = sum(n * min(3.0, float(np.exp(min(50.0, got[s] * n * len(own) / sum(own))))) for n in own)
+        assert abs(reached - target) <= 1e-5 * max(target, 1.0)
