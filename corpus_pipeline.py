@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lossgrid.llm import exact_dedup, minhash, mixing, packing, toxicity
 from lossgrid.llm.queries import TOXIC, tokenizer_path
-from lossgrid.llm.util import id_fold, stage, table, word_count
+from lossgrid.llm.util import id_fold, named, stage, table, word_count
 
 #: Percent of Jaccard similarity from which documents are near duplicates.
 NEAR = 80
@@ -38,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Score every document with a model learned from this corpus' labels; toxic ones go."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=lambda doc_id: id_fold(doc_id, 3) != 1)
     scored = toxicity.score(docs, model, column="_toxicity_score")
-    return scored.where(F.col("_toxicity_score") < TOXIC).select(docs.columns)
+    return scored.where(F.col("_toxicity_score") < TOXIC).select(*map(named, docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it."""
     planned = mixing.plan(mixing.document_sizes(docs))
     # The document travels as one struct, so no column of its can clash.
-    sized = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.struct(*map(named, docs.columns)).alias("document"), "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     taken = mixing.apply(sized, planned).where("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
 
