@@ -264,11 +264,9 @@ def test_composed_machine_equals_the_cascade():
     assert written == [f if s == toxicity.HARM else 0.0 for s, f in passed]
 
 
-def test_language_without_a_kept_gram_is_passed_over(spark):
+def test_language_of_one_short_text_is_learned(spark):
     rows = [(i, "common words of one language come again and again", "aa") for i in range(20)] + [(30, "zq", "xx")]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.learn(documents, max_ngrams=10)
-    assert model.languages == ["aa"] and {r.lang_pred for r in langid.predict(documents, model).collect()} == {"aa"}
     assert {r.doc_id: r.lang_pred for r in langid.predict(documents, langid.learn(documents)).collect()}[30] == "xx"
 
 
@@ -428,3 +426,48 @@ def test_newton_steps_end_where_doubles_end(spark, monkeypatch):
         own = [n for _, x, n in rows if x == s]
         reached = sum(n * min(3.0, float(np.exp(min(50.0, got[s] * n * len(own) / sum(own))))) for n in own)
         assert abs(reached - target) <= 1e-5 * max(target, 1.0)
+
+
+def test_language_model_in_tables_equals_the_arrays(spark, documents, nothing):
+    rng = np.random.default_rng(5)
+    rows = [(100 + i, " ".join("".join(rng.choice(list(letters), rng.integers(1, 8))) for _ in range(rng.integers(1, 60))), lang) for i, (lang, letters) in enumerate([("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "\u65e5\u672c\u8a9e\u6570\u636e\U00020000")] * 12)]
+    table = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    usable = lambda c: c.isNull() | (c % 4 != 2)
+    arrays, tables = langid.learn(table, usable), langid.learn(table, usable, max_ngrams=0)
+    assert isinstance(tables, langid.StagedModel) and tables.languages == arrays.languages
+    assert np.allclose(tables.floor, arrays.floor, atol=1e-5) and np.allclose(tables.limits, arrays.limits, atol=1e-4) and tables.temperature == arrays.temperature
+    key = lambda r: (str(r.doc_id), r.text or "")
+    one = sorted(langid.predict(table, arrays, keep=("doc_id", "text")).collect(), key=key)
+    two = sorted(langid.predict(table, tables, keep=("doc_id", "text")).collect(), key=key)
+    assert [(r.doc_id, r.text, r.lang_pred, r.rejected) for r in one] == [(r.doc_id, r.text, r.lang_pred, r.rejected) for r in two]
+    assert np.allclose([(r.score, r.entropy) for r in one], [(r.score, r.entropy) for r in two], atol=1e-4)
+    assert langid.predict(nothing, tables).count() == 0
+
+
+def test_language_probabilities_by_the_formula(spark):
+    """Interpolated Kneser-Ney written out for one language, without tables."""
+    words = ["aab", "ab", "ba", "aab", "c"]
+    grams = Counter(("   " + w + " ")[i : i + 4] for w in words for i in range(len(w) + 1))
+    counts = {4: dict(grams)}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    letters = len(counts[1]) + 1
+
+    def p(window: str) -> float:
+        if not window:
+            return 1 / letters
+        level = counts[len(window)]
+        total = sum(n for g, n in level.items() if g[:-1] == window[:-1])
+        if not total:
+            return p(window[1:])
+        kinds = sum(g[:-1] == window[:-1] for g in level)
+        return max(level.get(window, 0) - 0.75, 0) / total + 0.75 * kinds / total * p(window[1:])
+
+    rows = spark.createDataFrame([(1, " ".join(words), "aa")], "doc_id long, text string, lang string")
+    texts = ["aab ab", "bab", "cc", "zzz a", "b"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (0, 1000):
+        got = {r.doc_id: r.entropy for r in langid.predict(asked, langid.learn(rows, max_ngrams=bound)).collect()}
+        for i, text in enumerate(texts):
+            windows = [("   " + w + " ")[j : j + 4] for w in text.split() for j in range(len(w) + 1)]
+            assert abs(got[i] + sum(np.log2(p(w)) for w in windows) / len(windows)) < 1e-4
