@@ -16,8 +16,9 @@ stays in staged tables: all orders and back-offs are computed by grouping and
 joins, and texts are scored by joining their distinct words' n-grams with them.
 No four-gram is left out either way, and both give the same predictions.
 A temperature (for the score) and an upper limit of the cross-entropy for each
-language (beyond which a prediction counts as rejected) are calibrated on at
-most ``max_rows`` of the learnable rows.
+language (beyond which a prediction counts as rejected) are calibrated on all
+learnable rows: their bits by language are staged, losses are added up inside
+tasks, and quantiles are found by counting values in ever finer buckets.
 """
 
 from __future__ import annotations
@@ -303,7 +304,7 @@ def entropies(model: Model, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return -bits / np.maximum(chars, 1)[:, None], chars
 
 
-def learn(documents: DataFrame, usable=None, *, max_rows: int = 5_000, max_ngrams: int = MAX_NGRAMS) -> Model | StagedModel:
+def learn(documents: DataFrame, usable=None, *, max_ngrams: int = MAX_NGRAMS) -> Model | StagedModel:
     """Models of every non-null ``lang`` of ``documents`` (doc_id, text, lang).
 
     ``usable`` names the ids that may be learned from (a Column over doc_id).
@@ -318,13 +319,13 @@ def learn(documents: DataFrame, usable=None, *, max_rows: int = 5_000, max_ngram
     grams = words.mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams, seen = stage_observed(grams, "four-grams", size=F.count(F.lit(1)))
     model = build(grams.toPandas()) if seen["size"] <= max_ngrams else build_tables(grams)
-    if not model.languages:
-        return model
+    if model.languages:
+        calibrate(model, rows.select("lang", "text"))
+    return model
+
 
-    names = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sum(r["n"] for r in names.collect())
-    part = int((1 << 30) * min(1.0, max_rows / max(1, total)))
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1 << 30)) < part)
+def calibrate(model: Model | StagedModel, rows: DataFrame) -> None:
+    """Set the model's temperature and limits by every one of ``rows`` (lang, text)."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -332,21 +333,59 @@ def learn(documents: DataFrame, usable=None, *, max_rows: int = 5_000, max_ngram
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(chars), pa.array(list(values), pa.list_(pa.float64()))], ["lang", "chars", "bits"])
 
     if isinstance(model, StagedModel):
-        sample = stage(sample.select("lang", F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row")), "calibration")
-        measures = measured_by_join(sample, model).join(sample.select("_row", "lang"), F.col("row") == F.col("_row")).select("lang", "chars", "bits")
+        rows = stage(rows.select("lang", F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row")), "calibration")
+        measures = measured_by_join(rows, model).join(rows.select("_row", "lang"), F.col("row") == F.col("_row")).select("lang", "chars", "bits")
     else:
-        measures = sample.select("lang", "text").mapInArrow(measured, "lang string, chars double, bits array<double>")
-    seen = measures.where("chars > 0").toPandas()
-    seen = seen[seen["lang"].isin(model.languages)]
-    model.limits = np.full(len(model.languages), np.inf)
-    if len(seen):
-        bits, own = np.stack(seen["bits"].to_numpy()), np.array([model.languages.index(x) for x in seen["lang"]])
-        scale = np.geomspace(0.5, 200, 60)
-        model.temperature = float(min(scale, key=lambda t: -np.log(softmax(-bits * t)[np.arange(len(own)), own] + 1e-9).mean()))
-        for i in range(len(model.languages)):
-            if (own == i).any():
-                model.limits[i] = np.quantile(bits[own == i, i], 0.999) + 0.5
-    return model
+        measures = rows.mapInArrow(measured, "lang string, chars double, bits array<double>")
+    own = F.array_position(F.lit(model.languages), F.col("lang")).cast("int") - 1
+    measures = stage(measures.where("chars > 0").select(own.alias("own"), "bits").where("own >= 0"), "measures")
+    scale = np.geomspace(0.5, 200, 60)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(scale))
+        for batch in slices(batches, 4096):
+            bits, at = np.array(batch.column("bits").to_pylist()), batch.column("own").to_numpy()
+            sums += [-np.log(softmax(-bits * t)[np.arange(len(at)), at] + 1e-9).sum() for t in scale]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(scale)), pa.int32()), pa.array(sums)], ["at", "loss"])
+
+    loss = {r["at"]: r["loss"] for r in measures.mapInArrow(losses, "at int, loss double").groupBy("at").agg(F.sum("loss").alias("loss")).collect()}
+    high = quantiles(measures.select("own", F.get("bits", F.col("own")).alias("value")), 0.999)
+    if high:
+        model.temperature = float(scale[min(loss, key=lambda i: (loss[i], i))])
+    model.limits = np.array([high.get(i, np.inf) + 0.5 for i in range(len(model.languages))])
+
+
+def quantiles(values: DataFrame, share: float, buckets: int = 256) -> dict[int, float]:
+    """The exact quantile, interpolated between neighbours, of ``value`` for each ``own``.
+
+    A round counts the values of each interval in equal buckets and goes on in
+    the bucket that holds the rank, so the driver gets ``buckets`` rows for a
+    search and every round scans ``values``, which should be staged.
+    """
+    searches, sizes = [], {}
+    for own, n, lo, hi in values.groupBy("own").agg(F.count("*"), F.min("value"), F.max("value")).collect():
+        sizes[own] = n
+        at = int((n - 1) * share)
+        searches += [{"own": own, "rank": r, "lo": lo, "hi": hi, "below": 0} for r in {at, min(at + 1, n - 1)}]
+    while wide := [s for s in searches if s["lo"] < s["hi"]]:
+        asked = values.sparkSession.createDataFrame([(i, s["own"], s["lo"], s["hi"]) for i, s in enumerate(wide)], "search int, own int, lo double, hi double")
+        inside = values.join(F.broadcast(asked), "own").where("value between lo and hi")
+        place = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)  # the ends fall in the first and the last
+        counts = inside.groupBy("search", F.least(place, F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        found = sorted(counts.collect(), key=lambda r: (r["search"], r["bucket"]))
+        below = [s["below"] for s in wide]
+        for r in found:
+            s, seen = wide[r["search"]], below[r["search"]]
+            if seen <= s["rank"] < seen + r["n"]:
+                s.update(lo=r["lo"], hi=r["hi"], below=seen)
+            below[r["search"]] += r["n"]
+    at_rank = {(s["own"], s["rank"]): s["lo"] for s in searches}
+    out = {}
+    for own, n in sizes.items():
+        at = int((n - 1) * share)
+        low, high = at_rank[own, at], at_rank[own, min(at + 1, n - 1)]
+        out[own] = low + (high - low) * ((n - 1) * share - at)
+    return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -444,6 +444,28 @@ def test_language_model_in_tables_equals_the_arrays(spark, documents, nothing):
     assert langid.predict(nothing, tables).count() == 0
 
 
+def test_language_limits_and_temperature_are_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(rng.integers(1, 5))), lang) for i, (lang, letters) in enumerate([("aa", "abcde"), ("bb", "defgh")] * 3_500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    arrays, tables = langid.learn(table), langid.learn(table, max_ngrams=0)
+    bits, _ = langid.entropies(arrays, [t for _, t, _ in rows])
+    own = np.array([arrays.languages.index(x) for *_, x in rows])
+    scale = np.geomspace(0.5, 200, 60)
+    loss = [-np.log(langid.softmax(-bits * t)[np.arange(len(own)), own] + 1e-9).mean() for t in scale]
+    for model, error in ((arrays, 1e-9), (tables, 1e-4)):
+        assert np.allclose(model.limits, [np.quantile(bits[own == i, i], 0.999) + 0.5 for i in range(2)], rtol=0, atol=error)
+        assert model.temperature == scale[int(np.argmin(loss))]
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0] * 500, [0.1 * i for i in range(3001)] + [7.7] * 900, [1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 2), 1e9]])
+def test_quantiles_are_exact(spark, values):
+    table = spark.createDataFrame([(k, float(v) * (k + 1)) for k in range(2) for v in values], "own int, value double")
+    for share in (0.0, 0.5, 0.999, 1.0):
+        got = langid.quantiles(table, share, buckets=16)
+        assert np.allclose([got[k] for k in range(2)], [np.quantile(np.array(values) * (k + 1), share) for k in range(2)], rtol=1e-14, atol=0)
+
+
 def test_language_probabilities_by_the_formula(spark):
     """Interpolated Kneser-Ney written out for one language, without tables."""
     words = ["aab", "ab", "ba", "aab", "c"]
