@@ -371,6 +371,14 @@ def test_html_short_blocks_of_two_pages_stay(spark):
     assert len(next(r.text for r in found if r.page_id is None).split()) == 100_000
 
 
+def test_html_runs_shared_by_shards_are_found(spark):
+    """Blocks that differ, but share long runs, on pages of one host: one shard or one for each page or two."""
+    page = "<p>Welcome back dear reader number{0} of page{0}</p><p>Own words of{0} this{0} page{0} stand{0} here</p><p>More</p><p>of</p><p>our</p><p>shop</p><p>last{0}</p>"
+    pages = spark.createDataFrame([(i, "http://s/a", page.format(f"k{i}")) for i in range(6)], "page_id long, url string, html string")
+    whole, dealt = ({r.page_id: r.text for r in html.extract(pages, host_words=n).collect()} for n in (300_000, 20))
+    assert whole == dealt == {i: f"Own words ofk{i} thisk{i} pagek{i} standk{i} here\nlastk{i}" for i in range(6)}
+
+
 def test_repeated_words_by_suffixes():
     words = np.array([1, 2, 3, 4, -1, 9, 1, 2, 3, 5, -2, 7, 7, -3])
     page = np.array([0] * 5 + [1] * 6 + [2] * 3)
