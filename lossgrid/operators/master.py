@@ -83,6 +83,17 @@ def join_dimension(rows: DataFrame, t: Portfolio, name: str) -> DataFrame:
     return rows.join(dim, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
+def priced_policies(t: Portfolio) -> DataFrame:
+    """Policies with the totals of their premiums and claims, each row once whatever the dimensions hold."""
+    return t.priced if t.priced is not None else _priced(t.policies, t)
+
+
+def _priced(policies: DataFrame, t: Portfolio) -> DataFrame:
+    prem_side = premium_side(t).select("policy_id", "sum_prem")
+    clm_side = claim_side(t).select("policy_id", "total_claim", "nb_claims", "sum_claim", "n_claim_ids")
+    return policies.join(prem_side, "policy_id", "left").join(clm_side, "policy_id", "left")
+
+
 def policy_facts(t: Portfolio, need: tuple[str, ...] = ("clients", "agents"), later: tuple[str, ...] = ()) -> DataFrame:
     """Master rows with DECIMAL money (internal form used by every rollup).
 
@@ -93,13 +104,12 @@ def policy_facts(t: Portfolio, need: tuple[str, ...] = ("clients", "agents"), la
     """
     if t.facts is not None:
         return t.facts
-    prem_side = premium_side(t).select("policy_id", "sum_prem")
-    clm_side = claim_side(t).select("policy_id", "total_claim", "nb_claims", "sum_claim", "n_claim_ids")
-    policies = t.policies
+    facts = t.policies if t.priced is None else t.priced
     for name in DIMENSIONS:
         if name not in need and name not in later:
-            policies = with_copies(policies, t, name)
-    facts = policies.join(prem_side, "policy_id", "left").join(clm_side, "policy_id", "left")
+            facts = with_copies(facts, t, name)
+    if t.priced is None:
+        facts = _priced(facts, t)
     for name in DIMENSIONS:
         if name in need:
             facts = join_dimension(facts, t, name)

@@ -34,6 +34,9 @@ class Portfolio:
     # (see lossgrid.operators.facts); both tracks read them when set.
     premium_side: DataFrame | None = field(default=None, compare=False)
     claim_side: DataFrame | None = field(default=None, compare=False)
+    # Optional precomputed policies with their two sides, before any dimension
+    # (see lossgrid.operators.master.priced_policies).
+    priced: DataFrame | None = field(default=None, compare=False)
     # Optional precomputed policy rows carrying the SQL-track fan-out weights.
     weighted_policies: DataFrame | None = field(default=None, compare=False)
     # Optional precomputed rollups by client and by agent (master track).
@@ -51,6 +54,9 @@ class Portfolio:
     def with_sides(self, premium_side: DataFrame, claim_side: DataFrame) -> "Portfolio":
         return replace(self, premium_side=premium_side, claim_side=claim_side)
 
+    def with_priced(self, priced: DataFrame) -> "Portfolio":
+        return replace(self, priced=priced)
+
     def with_unique(self, names) -> "Portfolio":
         return replace(self, unique=frozenset(names))
 

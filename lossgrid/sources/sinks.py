@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.master import MASTER_COLUMNS, MONEY_COLUMNS
+from ..operators.master import MASTER_COLUMNS, MONEY_COLUMNS, priced_policies
 from ..plans.charts import QUERIES as CHART_QUERIES
+from ..plans.master_track import agent_rollup
+from ..session import materialize, release
 from .readers import Portfolio
 
 
@@ -107,12 +109,21 @@ def stored_facts(spark: SparkSession, path: str, years: list[int] | None = None)
 
 
 def write_chart_datasets(t: Portfolio, directory: str, fmt: str = "parquet") -> list[str]:
-    """SNK-2: persist the dataset behind every chart (v01 .. v08) under ``directory``."""
-    written = []
+    """SNK-2: persist the dataset behind every chart (v01 .. v08) under ``directory``.
+
+    The policies with their totals and the rollup by agent are staged for the
+    charts, so the fact tables are read and grouped once.
+    """
+    spark, run, written = t.policies.sparkSession, f"charts-{uuid.uuid4().hex}", []
+    if t.facts is None:
+        t = t.with_priced(materialize(priced_policies(t), run))
+    if t.agent_rollup is None:
+        t = t.with_rollups(t.client_rollup, materialize(agent_rollup(t), run))
     for name, build in CHART_QUERIES.items():
         out = os.path.join(directory, name)
         writer = build(t).write
         write = writer.option("header", True).csv if fmt == "csv" else writer.parquet
-        replace_folder(t.policies.sparkSession, out, write)
+        replace_folder(spark, out, write)
         written.append(out)
+    release(spark, run)
     return written

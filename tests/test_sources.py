@@ -3,11 +3,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lossgrid.operators.master import MASTER_COLUMNS
+from lossgrid.plans import charts
 from lossgrid.plans import master_track as n
 from lossgrid.plans.registry import QUERIES
 from lossgrid.plans.report import write_report
@@ -160,6 +162,26 @@ def test_chart_datasets_written(spark):
     assert spark.read.parquet(paths[0]).count() == 1
 
 
+def test_charts_read_the_fact_tables_once(spark):
+    """Every chart as its query gives it, also with repeated and null keys, from one pass over premiums and claims."""
+    t = mapped_portfolio(spark, SF_SMALL)
+    few = [t.clients.limit(50), t.clients.limit(1).withColumn("client_id", F.lit(None).cast("bigint"))]
+    odd = replace(t, clients=t.clients.union(few[0]).union(few[1]), agents=t.agents.union(t.agents.limit(9)), unique=frozenset())
+    for given in (t, odd):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        watched = replace(given, premiums=given.premiums.mapInArrow(counted, given.premiums.schema), claims=given.claims.mapInArrow(counted, given.claims.schema))
+        paths = write_chart_datasets(watched, _scratch())
+        assert seen.value == given.premiums.count() + given.claims.count()
+        for (name, build), path in zip(charts.QUERIES.items(), paths, strict=True):
+            assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, build(given).collect())), name
+
+
 def test_wide_ids_run_the_same_queries(spark):
     folder = _scratch()
     t = mapped_portfolio(spark, SF_SMALL)
