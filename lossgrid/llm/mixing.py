@@ -211,7 +211,9 @@ def _refined(small: DataFrame, state: DataFrame, most: int) -> DataFrame:
 
     With a greater shift a document moves up a copy where point + shift passes
     a whole number; the words gained by bin of that shift are summed before
-    the shuffle.
+    the shuffle.  Only ``state`` may be broadcast, to the documents; tables of
+    a row or a few for each source meet by merging, as every broadcast relation
+    holds a whole memory page in each executor.
     """
     at = small.join(state, F.col("source").eqNullSafe(F.col("s")))
     width = (F.col("high") - F.col("low")) / BINS
@@ -220,10 +222,10 @@ def _refined(small: DataFrame, state: DataFrame, most: int) -> DataFrame:
     steps = at.select("s", "size", "low", "high", F.explode(F.array(*(F.lit(float(k)) - F.col("point") for k in range(1, most + 1)))).alias("shift")).where("shift > low and shift <= high")
     bins = steps.groupBy("s", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.ceil((F.col("shift") - F.col("low")) / width) - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("gain"))
     running = bins.withColumn("upto", F.sum("gain").over(W.partitionBy("s").orderBy("bin")))
-    known = state.withColumnRenamed("s", "own").join(base, F.col("own").eqNullSafe(F.col("s")), "left").select("own", "need", "low", "high", F.coalesce("base", F.lit(0.0)).alias("base"))
+    known = state.withColumnRenamed("s", "own").join(base.hint("merge"), F.col("own").eqNullSafe(F.col("s")), "left").select("own", "need", "low", "high", F.coalesce("base", F.lit(0.0)).alias("base"))
     # The last bin whose words still fit into the need.
-    fit = running.join(known, F.col("s").eqNullSafe(F.col("own"))).where("base + upto <= need").groupBy("s").agg(F.max("bin").alias("bin"))
-    joined = known.join(fit, F.col("own").eqNullSafe(F.col("s")), "left")
+    fit = running.join(known.hint("merge"), F.col("s").eqNullSafe(F.col("own"))).where("base + upto <= need").groupBy("s").agg(F.max("bin").alias("bin"))
+    joined = known.join(fit.hint("merge"), F.col("own").eqNullSafe(F.col("s")), "left")
     low = F.col("low") + (F.coalesce(F.col("bin"), F.lit(-1)) + 1) * width
     return joined.select(F.col("own").alias("s"), "need", F.least(low, F.col("high")).alias("low"), F.least(low + width, F.col("high")).alias("high"))
 

@@ -436,6 +436,16 @@ def test_newton_steps_end_where_doubles_end(spark, monkeypatch):
         assert abs(reached - target) <= 1e-5 * max(target, 1.0)
 
 
+def test_mixing_rounds_broadcast_only_their_state(spark):
+    small = spark.createDataFrame([(f"s{i % 3}", 1 + i % 9, i / 50.0) for i in range(120)] + [(None, 4, 0.5)], "source string, size long, point double")
+    state = spark.createDataFrame([("s0", 40.0, -3.0, 3.0), ("s1", 55.0, -3.0, 3.0), ("s2", 9.0, -3.0, 3.0), (None, 8.0, -3.0, 3.0)], "s string, need double, low double, high double")
+    refined = mixing._refined(small, mixing.stage(state, "state"), 3)
+    assert refined.count() == 4
+    refined.collect()
+    plan = refined._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") >= 3
+
+
 def test_language_model_in_tables_equals_the_arrays(spark, documents, nothing):
     rng = np.random.default_rng(5)
     rows = [(100 + i, " ".join("".join(rng.choice(list(letters), rng.integers(1, 8))) for _ in range(rng.integers(1, 60))), lang) for i, (lang, letters) in enumerate([("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "\u65e5\u672c\u8a9e\u6570\u636e\U00020000")] * 12)]
